@@ -9,13 +9,13 @@ from dataclasses import dataclass
 from typing import TypeVar
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from effortlens.functions.numbers import argmax, ratio_or_zero
-from effortlens.operators.joins import join_lookup
+from effortlens.functions.numbers import argmax
 from effortlens.operators.statistics import ranges, scaled_name, unscaled
 from effortlens.schema import FEATURES, MIXTURE
 from effortlens.session import materialise
@@ -30,6 +30,9 @@ COVARIANCE_FLOOR = 1e-6
 # Models fitted side by side; the scheduler shares the executors among them.
 FITS_AT_ONCE = 4
 
+# Models whose parameters travel with one function, about a kilobyte each.
+MODELS_AT_ONCE = 10_000
+
 # Cells of the upper triangle of a covariance matrix.
 _PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
 
@@ -73,58 +76,108 @@ class Component:
         return float(self.weight), [float(v) for v in self.mean], flat, root, log_det
 
 
-def _components(sums, k: int, floor: float) -> list[Component]:
+def _sums(rows: DataFrame, shares_of: Callable) -> dict[str, np.ndarray]:
+    """Per extension the sums that the next parameters need.
+
+    `shares_of(ext, x)` gives, for a block of rows, the share of each cluster in
+    each row and the log likelihood of each row. A task adds up its own blocks
+    and hands on some hundred numbers per extension; a grouped sum joins them.
+    """
+
+    def partial(batches):
+        import numpy as np
+        import pandas as pd
+
+        total = {}
+        for batch in batches:
+            for ext, block in batch.groupby("file_ext", sort=False):
+                x = block.drop(columns="file_ext").to_numpy(dtype=float)
+                shares, log_likelihood = shares_of(ext, x)
+                sums = np.concatenate(
+                    [
+                        [len(x), log_likelihood.sum()],
+                        shares.sum(axis=0),
+                        (shares.T @ x).ravel(),
+                        np.einsum("nc,ni,nj->cij", shares, x, x, optimize=True).ravel(),
+                    ]
+                )
+                total[ext] = total[ext] + sums if ext in total else sums
+        for ext, sums in total.items():
+            yield pd.DataFrame({"file_ext": ext, "position": range(len(sums)), "value": sums})
+
+    wanted = rows.select("file_ext", *[scaled_name(f) for f in FEATURES])
+    cells = (
+        wanted.mapInPandas(partial, "file_ext string, position int, value double")
+        .groupBy("file_ext", "position")
+        .agg(F.sum("value").alias("value"))
+    )
+    result: dict[str, dict[int, float]] = {}
+    for cell in cells.collect():  # some hundred numbers per model
+        result.setdefault(cell.file_ext, {})[cell.position] = cell.value
+    return {ext: np.array([v for _, v in sorted(at.items())]) for ext, at in result.items()}
+
+
+def _components(sums: np.ndarray, k: int, floor: float) -> list[Component]:
     """New parameters from the sums of one extension; clusters nobody belongs to vanish."""
     size = len(FEATURES)
+    n_rows, weights = sums[0], sums[2 : 2 + k]
+    firsts = sums[2 + k : 2 + k + k * size].reshape(k, size)
+    seconds = sums[2 + k + k * size :].reshape(k, size, size)
     found = []
-    for c in range(k):
-        weight = sums[f"n_{c}"] or 0.0
-        if weight <= 10 * np.finfo(float).eps:
-            continue
-        mean = np.array([sums[f"s_{c}_{i}"] for i in range(size)]) / weight
-        second = np.empty((size, size))
-        for i, j in _PAIRS:
-            second[i, j] = second[j, i] = sums[f"q_{c}_{i}_{j}"] / weight
-        covariance = second - np.outer(mean, mean)
-        found.append(Component(weight / sums["n_rows"], mean, covariance + floor * np.eye(size)))
+    for weight, first, second in zip(weights, firsts, seconds):
+        if weight > 10 * np.finfo(float).eps:
+            mean = first / weight
+            covariance = second / weight - np.outer(mean, mean) + floor * np.eye(size)
+            found.append(Component(weight / n_rows, mean, covariance))
     return found
 
 
-def _sums(rows: DataFrame, shares: list[Column], log_likelihood: Column) -> DataFrame:
-    """Everything the next parameters need, in one pre-aggregating pass for all extensions."""
-    names = [scaled_name(f) for f in FEATURES]
-    aggregates = [F.count("*").alias("n_rows"), F.avg(log_likelihood).alias("bound")]
-    for c, share in enumerate(shares):
-        aggregates.append(F.sum(share).alias(f"n_{c}"))
-        aggregates += [F.sum(share * F.col(n)).alias(f"s_{c}_{i}") for i, n in enumerate(names)]
-        aggregates += [
-            F.sum(share * F.col(names[i]) * F.col(names[j])).alias(f"q_{c}_{i}_{j}") for i, j in _PAIRS
-        ]
-    return rows.groupBy("file_ext").agg(*aggregates)
+def _nearest_centre(centres: dict[str, np.ndarray], k: int) -> Callable:
+    def shares_of(ext, x):
+        import numpy as np
+
+        distance = ((x[:, None, :] - centres[ext][None, :, :]) ** 2).sum(axis=2)
+        return np.eye(k)[distance.argmin(axis=1)], np.zeros(len(x))
+
+    return shares_of
+
 
+def _posterior(state: dict[str, list[Component]], k: int) -> Callable:
+    """Posteriors under the present parameters; a vanished cluster has share 0."""
+    terms = {}
+    for ext, parts in state.items():
+        roots = np.array([np.linalg.inv(np.linalg.cholesky(p.covariance)) for p in parts])
+        means = np.array([p.mean for p in parts])
+        log_root = np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(axis=1)
+        constants = np.log([p.weight for p in parts]) + log_root - 0.5 * len(FEATURES) * math.log(2 * math.pi)
+        terms[ext] = roots, np.einsum("cij,cj->ci", roots, means), constants
 
-def _start(training: DataFrame, extensions: list[str], k: int, seed: int) -> DataFrame:
-    """Sums of a hard k-means clustering of each extension."""
+    def shares_of(ext, x):
+        import numpy as np
+
+        roots, moved, constants = terms[ext]
+        away = np.einsum("nj,cij->nci", x, roots, optimize=True) - moved
+        logs = constants - 0.5 * (away**2).sum(axis=2)
+        top = logs.max(axis=1, keepdims=True)
+        likelihood = np.exp(logs - top)
+        total = likelihood.sum(axis=1, keepdims=True)
+        shares = np.zeros((len(x), k))
+        shares[:, : len(constants)] = likelihood / total
+        return shares, (top + np.log(total))[:, 0]
+
+    return shares_of
+
+
+def _start(training: DataFrame, extensions: list[str], k: int, seed: int) -> dict[str, np.ndarray]:
+    """Centres of a k-means clustering of each extension."""
     names = [scaled_name(f) for f in FEATURES]
     estimator = KMeans(k=k, seed=seed, featuresCol="vector")
 
-    def fit(ext: str) -> list:
+    def fit(ext: str) -> np.ndarray:
         rows = vector_of(training.where(F.col("file_ext") == ext), names).select("vector")
-        return [[float(v) for v in centre] for centre in estimator.fit(rows).clusterCenters()]
-
-    centres = list(per_extension(extensions, fit).items())
-    table = training.sparkSession.createDataFrame(centres, "file_ext string, centres array<array<double>>")
-
-    def distance(c: int) -> Column:
-        away = [F.col(n) - F.try_element_at(F.col("centres"), F.lit(c + 1))[i] for i, n in enumerate(names)]
-        return sum((a * a for a in away), F.lit(0.0))
+        return np.array(estimator.fit(rows).clusterCenters())
 
-    near = join_lookup(training, table, ["file_ext"]).withColumn(
-        "_near", F.array(*[F.coalesce(distance(c), F.lit(math.inf)) for c in range(k)])
-    )
-    label = F.array_position("_near", F.array_min("_near")) - 1
-    rows = near.withColumn("_label", label)
-    return _sums(rows, [(F.col("_label") == c).cast("double") for c in range(k)], F.lit(0.0))
+    return per_extension(extensions, fit)
 
 
 def fit_mixtures(
@@ -139,57 +192,32 @@ def fit_mixtures(
 
     Spark ML's own mixture has neither a k-means start nor a floor under the
     covariances. On feature rows, of which many are alike, its clusters shrink
-    to single points, so expectation and maximisation are written here as one
-    grouped aggregation per iteration, for all extensions in one job. Only
-    sums, some hundred numbers per extension, reach the driver. An extension
-    whose mean log likelihood moved by less than `tolerance` is left out of the
-    next pass. `training` should come from `training_set`, whose files are laid
-    out per extension, so that pass reads only the extensions it needs.
+    to single points, so each iteration here is one grouped sum over the rows
+    of all extensions. Only some hundred numbers per extension reach the
+    driver. An extension whose mean log likelihood moved by less than
+    `tolerance` is left out of the next pass. `training` should come from
+    `training_set`, whose files are laid out per extension, so that a pass
+    reads only the extensions it needs.
     """
-    spark = training.sparkSession
-    extensions = model_extensions(training)
+    centres = _start(training, model_extensions(training), k, seed)
     state = {
-        row.file_ext: _components(row, k, floor)
-        for row in _start(training, extensions, k, seed).collect()
+        ext: _components(sums, k, floor)
+        for ext, sums in _sums(training, _nearest_centre(centres, k)).items()
     }
     bounds = dict.fromkeys(state, -math.inf)
-    moving = set(state)
+    moving = sorted(state)
     for _ in range(max_iterations):
         if not moving:
             break
-        wide = spark.createDataFrame(
-            [_wide_row(ext, state[ext], k) for ext in sorted(moving)], _wide_schema(k)
-        )
-        rows = training.where(F.col("file_ext").isin(sorted(moving)))
-        names = [scaled_name(f) for f in FEATURES]
-        dense = _with_log_densities(join_lookup(rows, wide, ["file_ext"]), ["file_ext", *names], names, k)
-        shares = [F.col(f"_p{c}") for c in range(k)]
-        shared = dense.select(
-            "file_ext",
-            *names,
-            (F.col("_top") + F.log("_total")).alias("_bound"),
-            *(s.alias(f"_p{c}") for c, s in enumerate(_shares(k))),
-        )
-        for row in _sums(shared, shares, F.col("_bound")).collect():
-            state[row.file_ext] = _components(row, k, floor)
-            if abs(row.bound - bounds[row.file_ext]) < tolerance:
-                moving.discard(row.file_ext)
-            bounds[row.file_ext] = row.bound
+        rows = training.where(F.col("file_ext").isin(moving))
+        for ext, sums in _sums(rows, _posterior({e: state[e] for e in moving}, k)).items():
+            state[ext] = _components(sums, k, floor)
+            bound = sums[1] / sums[0]
+            if abs(bound - bounds[ext]) < tolerance:
+                moving.remove(ext)
+            bounds[ext] = bound
     rows = [(ext, c, *part.row()) for ext, parts in state.items() for c, part in enumerate(parts)]
-    return spark.createDataFrame(rows, MIXTURE)
-
-
-def _wide_schema(k: int) -> str:
-    terms = "struct<constant: double, mean: array<double>, root: array<double>>"
-    return "file_ext string, " + ", ".join(f"cluster_{c} {terms}" for c in range(k))
-
-
-def _wide_row(ext: str, parts: list[Component], k: int) -> tuple:
-    cells = []
-    for part in parts:
-        weight, mean, _, root, log_det = part.row()
-        cells.append((math.log(weight) - 0.5 * (len(FEATURES) * math.log(2 * math.pi) + log_det), mean, root))
-    return (ext, *cells, *[None] * (k - len(parts)))
+    return training.sparkSession.createDataFrame(rows, MIXTURE)
 
 
 def moment_mixture(scaled: DataFrame) -> DataFrame:
@@ -214,7 +242,7 @@ def moment_mixture(scaled: DataFrame) -> DataFrame:
     covariance = F.array(
         *[F.col("variance")[i] if i == j else F.lit(0.0) for i in range(size) for j in range(size)]
     )
-    return grouped.join(per_ext, "file_ext").select(
+    parameters = grouped.join(per_ext, "file_ext").select(
         "file_ext",
         "cluster",
         (F.col("n_rows") / F.col("n_ext")).alias("weight"),
@@ -223,28 +251,7 @@ def moment_mixture(scaled: DataFrame) -> DataFrame:
         root.alias("precision_root"),
         log_det.alias("log_det"),
     )
-
-
-def scoring_table(mixture: DataFrame, fitted: DataFrame, k: int = CLUSTERS) -> DataFrame:
-    """One row per extension: feature ranges, and per cluster its density terms and its value.
-
-    The value of a cluster is the sum of its centroid brought back to the units
-    of the rows the ranges were taken from.
-    """
-    value = sum(
-        (unscaled(F.col("mean")[i], F.col(f"{f}_min"), F.col(f"{f}_max")) for i, f in enumerate(FEATURES)),
-        F.lit(0.0),
-    )
-    constant = F.log("weight") - 0.5 * (len(FEATURES) * math.log(2 * math.pi) + F.col("log_det"))
-    terms = F.struct(
-        constant.alias("constant"),
-        "mean",
-        F.col("precision_root").alias("root"),
-        value.alias("value"),
-    )
-    limits = [f"{f}_{end}" for f in FEATURES for end in ("min", "max")]
-    per_cluster = [F.max(F.when(F.col("cluster") == c, terms)).alias(f"cluster_{c}") for c in range(k)]
-    return mixture.join(fitted, "file_ext").groupBy("file_ext", *limits).agg(*per_cluster)
+    return materialise(parameters, "mixture")
 
 
 def centroids(mixture: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -258,53 +265,82 @@ def centroids(mixture: DataFrame, fitted: DataFrame) -> DataFrame:
     )
 
 
-def _log_density(cluster: int, names: list[str]) -> Column:
-    """Log of weight times density; null for a cluster the extension does not have."""
-    terms = F.col(f"cluster_{cluster}")
-    away = [F.col(n) - terms["mean"][i] for i, n in enumerate(names)]
-    distance, at = F.lit(0.0), 0
-    for i in range(len(names)):
-        projected = F.lit(0.0)
-        for j in range(i + 1):
-            projected = projected + terms["root"][at] * away[j]
-            at += 1
-        distance = distance + projected * projected
-    return terms["constant"] - 0.5 * distance
-
-
-def _with_log_densities(joined: DataFrame, kept: list[str], names: list[str], k: int) -> DataFrame:
-    """Add `_l0`.. (log densities), `_top` (the greatest) and `_total` (their sum relative to it)."""
-    logs = [F.col(f"_l{c}") for c in range(k)]
-    total = sum((F.coalesce(F.exp(log - F.col("_top")), F.lit(0.0)) for log in logs), F.lit(0.0))
-    return (
-        joined.select(*kept, *(_log_density(c, names).alias(f"_l{c}") for c in range(k)))
-        .withColumn("_top", F.greatest(*logs) if k > 1 else logs[0])
-        .withColumn("_total", F.when(F.col("_top").isNotNull(), total))
-    )
-
-
-def _shares(k: int) -> list[Column]:
-    """Posterior of each cluster, 0 for one that does not exist."""
-    return [
-        F.coalesce(F.exp(F.col(f"_l{c}") - F.col("_top")) / F.col("_total"), F.lit(0.0)) for c in range(k)
-    ]
-
-
-def with_posteriors(frame: DataFrame, table: DataFrame, k: int = CLUSTERS) -> DataFrame:
-    """Join the scoring table and add `posteriors`, an array of k probabilities (null without a model).
-
-    Everything is a column expression, for all extensions in one plan.
+def _posterior_terms(mixture: DataFrame, fitted: DataFrame) -> dict[str, tuple]:
+    """Per extension the arrays the posterior needs."""
+    limits = [f"{f}_{end}" for f in FEATURES for end in ("min", "max")]
+    size = len(FEATURES)
+    parts: dict[str, list] = {}
+    for row in mixture.join(fitted, "file_ext").select(*mixture.columns, *limits).collect():
+        parts.setdefault(row.file_ext, []).append(row)
+    terms = {}
+    for ext, rows in parts.items():
+        roots = np.zeros((len(rows), size, size))
+        for root, row in zip(roots, rows):
+            root[np.tril_indices(size)] = row.precision_root
+        moved = np.array([root @ np.array(row["mean"]) for root, row in zip(roots, rows)])
+        constants = np.array(
+            [math.log(r.weight) - 0.5 * (size * math.log(2 * math.pi) + r.log_det) for r in rows]
+        )
+        low = np.array([rows[0][f"{f}_min"] for f in FEATURES])
+        width = np.array([rows[0][f"{f}_max"] for f in FEATURES]) - low
+        clusters = [row.cluster for row in rows]
+        terms[ext] = clusters, roots, moved, constants, low, np.where(width == 0, 1.0, width)
+    return terms
+
+
+def _posterior_of(terms: dict[str, tuple], k: int) -> Callable:
+    """A vectorised function from (extension, raw features) to k posteriors."""
+
+    def posterior(ext: pd.Series, features: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+        import pandas as pd
+
+        values = features.to_numpy(dtype=float)
+        result = np.full((len(values), k), np.nan)
+        for name, at in ext.groupby(ext, sort=False).indices.items():
+            if name not in terms:
+                continue
+            clusters, roots, moved, constants, low, width = terms[name]
+            scaled = (values[at] - low) / width
+            away = np.einsum("nj,cij->nci", scaled, roots, optimize=True) - moved
+            logs = constants - 0.5 * (away**2).sum(axis=2)
+            shares = np.exp(logs - logs.max(axis=1, keepdims=True))
+            filled = np.zeros((len(at), k))
+            filled[:, clusters] = shares / shares.sum(axis=1, keepdims=True)
+            result[at] = filled
+        return pd.DataFrame(result, columns=[f"p{c}" for c in range(k)])
+
+    return F.pandas_udf(posterior, ", ".join(f"p{c} double" for c in range(k)))
+
+
+def with_posteriors(
+    frame: DataFrame, mixture: DataFrame, fitted: DataFrame, k: int = CLUSTERS
+) -> DataFrame:
+    """Add `posteriors`, an array of k probabilities, null where there is no model.
+
+    All extensions are done in one pass without a shuffle: the parameters, some
+    hundred numbers per model, travel with the function. (As column expressions
+    the 135 products per row make one generated method that is too large for
+    the JIT compiler; measured, that is three to eight times slower.) Should
+    there be more than `MODELS_AT_ONCE` models, the extensions are taken in
+    slices by hash, each with its own models.
     """
-    kept = [*frame.columns, *(f"cluster_{c}" for c in range(k))]
-    names = [f"_x{i}" for i in range(len(FEATURES))]
-    scaled = [
-        ratio_or_zero(F.col(f) - F.col(f"{f}_min"), F.col(f"{f}_max") - F.col(f"{f}_min")).alias(n)
-        for n, f in zip(names, FEATURES)
-    ]
-    joined = join_lookup(frame, table, ["file_ext"]).select(*kept, *scaled)
-    return _with_log_densities(joined, kept, names, k).withColumn(
-        "posteriors", F.when(F.col("_total").isNotNull(), F.array(*_shares(k)))
-    )
+    n_models = mixture.select("file_ext").distinct().count()
+    slices = max(1, math.ceil(n_models / MODELS_AT_ONCE))
+    ext = F.coalesce("file_ext", F.lit(""))
+    result = None
+    for number in range(slices):
+        mine = F.pmod(F.xxhash64(ext), F.lit(slices)) == number
+        rows, models = (frame, mixture) if slices == 1 else (frame.where(mine), mixture.where(mine))
+        posterior = _posterior_of(_posterior_terms(models, fitted), k)
+        found = posterior(ext, F.struct(*FEATURES))
+        part = rows.withColumn("_found", found).withColumn(
+            "posteriors",
+            F.when(F.col("_found.p0").isNotNull(), F.array(*[F.col(f"_found.p{c}") for c in range(k)])),
+        )
+        part = part.drop("_found")
+        result = part if result is None else result.unionByName(part)
+    return result
 
 
 def assign_clusters(
@@ -316,8 +352,7 @@ def assign_clusters(
     default those of `frame` itself.
     """
     low_high = materialise(ranges(frame), "ranges") if fitted is None else fitted
-    table = materialise(scoring_table(mixture, low_high, k), "scoring-table")
-    return with_posteriors(frame, table, k).select(
+    return with_posteriors(frame, mixture, low_high, k).select(
         *frame.columns, "posteriors", argmax(F.col("posteriors")).alias("cluster")
     )
 

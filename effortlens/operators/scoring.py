@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effortlens.operators.mixture import CLUSTERS, scoring_table, with_posteriors
+from effortlens.operators.joins import join_lookup
+from effortlens.operators.mixture import CLUSTERS, centroids, with_posteriors
 from effortlens.operators.statistics import at_least, ranges
 from effortlens.schema import NO_MODEL
 from effortlens.session import materialise
@@ -29,23 +30,19 @@ def score_mods(
     if min_rows:
         frame = at_least(frame, min_rows)
     low_high = materialise(ranges(frame), "ranges") if fitted is None else fitted
-    table = materialise(scoring_table(mixture, low_high, k), "scoring-table")
-    cluster = F.col("cluster_id")
-    value, chosen = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for c in range(k):
-        value = F.when(cluster == c, F.col(f"cluster_{c}")["value"]).otherwise(value)
-        chosen = F.when(cluster == c, F.col(f"_l{c}")).otherwise(chosen)
-    has_model = cluster.isNotNull() & F.col("_total").isNotNull()
-    probability = F.when(
-        has_model, F.coalesce(F.exp(chosen - F.col("_top")) / F.col("_total"), F.lit(0.0))
-    ).otherwise(0.0)
-    return (
-        with_posteriors(frame, table, k)
-        .select(
-            *(c for c in frame.columns if c != "cluster_id"),
-            F.when(has_model, cluster.cast("string")).otherwise(NO_MODEL).alias("predicted_cluster"),
-            probability.alias("probablities"),
-            F.when(has_model, F.coalesce(value, F.lit(0.0))).otherwise(0.0).alias("sum_centroid"),
-        )
-        .withColumn("mod_score", F.col("sum_centroid") * F.col("probablities"))
+    values = materialise(
+        centroids(mixture, low_high).select(
+            "file_ext", F.col("cluster").alias("cluster_id"), F.col("Sum_centroids").alias("sum_centroid")
+        ),
+        "cluster-values",
     )
+    scored = join_lookup(with_posteriors(frame, mixture, low_high, k), values, ["file_ext", "cluster_id"])
+    cluster = F.col("cluster_id")
+    has_model = cluster.isNotNull() & F.col("posteriors").isNotNull()
+    probability = F.when(has_model, F.try_element_at("posteriors", cluster + 1))
+    return scored.select(
+        *(c for c in frame.columns if c != "cluster_id"),
+        F.when(has_model, cluster.cast("string")).otherwise(NO_MODEL).alias("predicted_cluster"),
+        F.coalesce(probability, F.lit(0.0)).alias("probablities"),
+        F.when(has_model, F.coalesce("sum_centroid", F.lit(0.0))).otherwise(0.0).alias("sum_centroid"),
+    ).withColumn("mod_score", F.col("sum_centroid") * F.col("probablities"))
