@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from effortlens.operators.refresh import unseen, with_commit_time
 from effortlens.schema import EMAIL_MAP
@@ -36,10 +37,11 @@ class ModStore:
             blame.write.mode("append").parquet(self.blame_path)
 
     def mods(self) -> DataFrame:
-        months_are_text = self.spark.read.option("mergeSchema", False).parquet(self.path)
-        return months_are_text.withColumn(
-            "committed_month", months_are_text["committed_month"].cast("string")
+        found = self.spark.read.parquet(self.path).schema
+        declared = T.StructType(
+            [T.StructField(f.name, T.StringType()) if f.name == "committed_month" else f for f in found]
         )
+        return self.spark.read.schema(declared).parquet(self.path)
 
     def blame(self) -> DataFrame:
         """Blame rows, each once."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from effortlens.operators.refresh import MOD_KEY
 from effortlens.sources.store import ModStore
 
 
@@ -18,7 +17,7 @@ def start_refresh(new: DataFrame, store: ModStore, checkpoint: str) -> Streaming
     """Add each micro-batch's unseen mods to the store; a repeated batch adds nothing."""
 
     def add(batch: DataFrame, number: int) -> None:
-        store.refresh(batch.dropDuplicates(list(MOD_KEY)))
+        store.refresh(batch.dropDuplicates())
 
     return (
         new.writeStream.foreachBatch(add)
