@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel
@@ -14,7 +16,6 @@ from pyspark.sql import functions as F
 
 from effortlens.operators.mixture import vector_of
 from effortlens.operators.statistics import standardise
-from effortlens.session import materialise
 
 # Fixed values.
 SWEEP = (2, 3, 4, 5, 6, 8)
@@ -118,35 +119,38 @@ def silhouette_samples(frame: DataFrame, features: Sequence[str], label: str = "
 
     The mean squared distance to a cluster follows from the cluster's size, sum
     and sum of squares, so one pre-aggregating pass and one scan are enough
-    however many rows there are. Clusters are few: their moments become
-    literals of the second pass.
+    however many rows there are. Clusters are few; their moments travel with
+    the vectorised function of the second pass.
     """
     norm = sum((F.col(f) * F.col(f) for f in features), F.lit(0.0))
-    moments = materialise(
-        frame.groupBy(label).agg(
-            F.count("*").alias("n"),
-            F.sum(norm).alias("norms"),
-            *[F.sum(f).alias(f"s_{i}") for i, f in enumerate(features)],
-        ),
-        "cluster-moments",
+    clusters = (
+        frame.groupBy(label)
+        .agg(F.count("*").alias("n"), F.sum(norm).alias("norms"), *[F.sum(f).alias(f) for f in features])
+        .collect()  # one row per cluster
     )
-    clusters = moments.collect()  # one row per cluster
-    distances = []
-    for c in clusters:
-        cross = sum((F.col(f) * c[f"s_{i}"] for i, f in enumerate(features)), F.lit(0.0))
-        total = F.greatest(F.lit(0.0), F.col("_norm") * c["n"] - 2 * cross + c["norms"])
-        mine = F.col(label) == c[label]
+    labels = np.array([c[label] for c in clusters])
+    sizes = np.array([float(c["n"]) for c in clusters])
+    norms = np.array([c["norms"] for c in clusters])
+    sums = np.array([[c[f] for f in features] for c in clusters])
+
+    def silhouette(own: pd.Series, values: pd.DataFrame) -> pd.Series:
+        import numpy as np
+        import pandas as pd
+
+        x = values.to_numpy(dtype=float)
+        total = (x**2).sum(axis=1)[:, None] * sizes - 2 * x @ sums.T + norms
+        mine = own.to_numpy()[:, None] == labels
         # A row has no distance to itself, so its own cluster counts one row less.
-        divisor = F.when(mine, F.lit(float(max(c["n"] - 1, 1)))).otherwise(F.lit(float(c["n"])))
-        distances.append(
-            F.struct(mine.alias("own"), (total / divisor).alias("distance"), F.lit(c["n"]).alias("n"))
-        )
-    found = frame.withColumn("_norm", norm).withColumn("_to", F.array(*distances))
-    own = F.filter("_to", lambda d: d["own"])[0]
-    other = F.array_min(F.transform(F.filter("_to", lambda d: ~d["own"]), lambda d: d["distance"]))
-    return found.withColumn(
-        "silhouette", _silhouette(own["distance"], other, own["n"])
-    ).drop("_norm", "_to")
+        mean = np.maximum(total, 0) / np.where(mine, np.maximum(sizes - 1, 1), sizes)
+        a = np.where(mine, mean, 0).sum(axis=1)
+        b = np.where(mine, np.inf, mean).min(axis=1)
+        larger = np.maximum(a, b)
+        found = np.divide(b - a, larger, out=np.zeros(len(x)), where=larger > 0)
+        alone = np.where(mine, sizes, 0).sum(axis=1) <= 1
+        return pd.Series(np.where(alone, 0.0, found))
+
+    score = F.pandas_udf(silhouette, "double")
+    return frame.withColumn("silhouette", score(F.col(label), F.struct(*features)))
 
 
 def silhouette_mean(frame: DataFrame, features: Sequence[str], label: str = "cluster") -> float:

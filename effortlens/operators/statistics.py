@@ -143,9 +143,9 @@ def training_set(featured: DataFrame, min_rows: int = MIN_TRAINING_ROWS, z: floa
     """Scaled inliers of all trainable extensions, written per extension.
 
     The mods are read twice: once for the moments, once to flag the rows. The
-    second pass writes the inliers per extension; counts, gates and ranges then
-    come from that smaller table, and each later model fit reads only the files
-    of its own extension.
+    second pass writes the inliers per extension; the ranges then come from
+    that smaller table. The scaled rows are written once more, since model fits
+    read them many times, each only the files of its own extension.
     """
     keep = ["file_ext", "hash", "Author", "language_supported", *FEATURES]
     frame = featured.select([c for c in keep if c in featured.columns])
@@ -165,4 +165,4 @@ def training_set(featured: DataFrame, min_rows: int = MIN_TRAINING_ROWS, z: floa
         "inliers",
         by="file_ext",
     )
-    return scale_minmax(inliers)
+    return materialise(scale_minmax(inliers), "training", by="file_ext")

@@ -929,7 +929,8 @@ def mixture_covariances(spark, sf_dir):
 
 
 # Smaller than the defaults of the library, so that a check takes seconds.
-_QUICK = {"rounds": 3, "depth": 3}
+_QUICK = {"rounds": 3, "depth": 3, "max_iterations": 10}
+_FOREST = {"kind": "forest", "rounds": 5, "depth": 4, "max_iterations": 10}
 
 
 @register()
@@ -943,7 +944,7 @@ def classifier_accuracy(spark, sf_dir):
 def model_registry(spark, sf_dir):
     """Random forests trained, saved and listed."""
     root = fresh_path(spark, "models")
-    jobs.train(fx.mods_with_ext(spark, sf_dir), root, kind="forest", rounds=5, depth=4)
+    jobs.train(fx.mods_with_ext(spark, sf_dir), root, **_FOREST)
     return model_files.registry(spark, root)
 
 
@@ -952,7 +953,7 @@ def score_file(spark, sf_dir):
     """Train, anonymise to CSV, score the file, put e-mails back."""
     root, source, target = (fresh_path(spark, n) for n in ("models", "hidden-csv", "scored-csv"))
     mods = materialise(fx.mods_with_ext(spark, sf_dir), "mods")
-    jobs.train(mods, root, kind="forest", rounds=5, depth=4)
+    jobs.train(mods, root, **_FOREST)
     hidden, emails = pv.anonymise(mods)
     csv_files.write_csv(hidden, source)
     jobs.score_file(spark, source, target, root)

@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from effortlens.functions.text import base_name
 from effortlens.operators.classifier import BOOST_DEPTH, BOOST_ROUNDS, Fitted, fit_classifiers, predict_clusters
+from effortlens.operators.commits import dates_in_gmt
 from effortlens.operators.features import add_features, scoring_frame
-from effortlens.operators.mixture import CLUSTERS, assign_clusters, drop_unclustered, fit_mixtures
+from effortlens.operators.mixture import (
+    CLUSTERS,
+    MAX_ITERATIONS,
+    assign_clusters,
+    drop_unclustered,
+    fit_mixtures,
+)
 from effortlens.operators.scoring import score_mods
 from effortlens.operators.statistics import ranges, training_set
 from effortlens.schema import FEATURES
 from effortlens.session import materialise
-from effortlens.sources.csv import read_mods_csv, write_csv
+from effortlens.sources.csv import read_mods_csv, read_mods_many, write_csv
 from effortlens.sources.models import load_classifiers, load_mixture, load_training_ranges, save_models
 
 
@@ -21,11 +30,12 @@ def fit_all(
     kind: str = "boosted",
     rounds: int = BOOST_ROUNDS,
     depth: int = BOOST_DEPTH,
+    max_iterations: int = MAX_ITERATIONS,
 ) -> tuple[DataFrame, DataFrame, dict[str, Fitted]]:
     """Mixture parameters, training ranges and classifiers for every trainable extension."""
     training = training_set(add_features(mods))
     low_high = materialise(ranges(training), "ranges")
-    mixture = materialise(fit_mixtures(training, k), "mixture")
+    mixture = materialise(fit_mixtures(training, k, max_iterations=max_iterations), "mixture")
     raw = training.select("file_ext", "hash", *FEATURES)
     clustered = drop_unclustered(assign_clusters(raw, mixture, low_high, k)).drop("posteriors")
     labelled = materialise(clustered, "clustered", by="file_ext")
@@ -49,6 +59,12 @@ def score(mods: DataFrame, root: str, scaler: str = "target", min_rows: int = 0)
     return score_mods(frame, load_mixture(spark, root), fitted, min_rows=min_rows)
 
 
+def rewrite_in_gmt(spark: SparkSession, paths: list[str], target: str) -> None:
+    """Write every mod file again with both dates in GMT, a folder per file of origin."""
+    mods = dates_in_gmt(read_mods_many(spark, paths))
+    write_csv(mods.withColumn("origin", base_name(F.col("origin"))), target, by="origin")
+
+
 def score_file(spark: SparkSession, source: str, target: str, root: str, **options) -> None:
     """Anonymised CSV in, scored CSV out, all extensions in one result."""
     write_csv(score(read_mods_csv(spark, source), root, **options), target)
