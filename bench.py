@@ -37,6 +37,9 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 STREAM_FILES = 20
 
+# The given tables are single files; the mod table is stored as several, as any large table is.
+FILES = 2 * int(CPUS)
+
 
 def run(frame) -> None:
     """Compute every row and column, keep none."""
@@ -65,9 +68,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
-    mods = materialise(fixtures.mods_with_ext(spark, SF_DIR), "bench-mods")
-    diffs = materialise(fixtures.mods_with_diff(spark, SF_DIR), "bench-diffs")
-    history = materialise(fixtures.line_history(spark, SF_DIR), "bench-history")
+    mods = materialise(fixtures.mods_with_ext(spark, SF_DIR).repartition(FILES), "bench-mods")
+    diffs = materialise(fixtures.mods_with_diff(spark, SF_DIR).repartition(FILES), "bench-diffs")
+    history = materialise(fixtures.line_history(spark, SF_DIR).repartition(FILES), "bench-history")
     featured = features.scoring_frame(features.add_features(mods))
     given = featured.withColumn("cluster_id", F.floor((F.col("number_lines_added") - 1) / 10).cast("int"))
     model = mixture.moment_mixture(stats.scale_minmax(given)).where(F.col("file_ext") != "md")

@@ -92,8 +92,12 @@ def has_commits(mods: DataFrame) -> bool:
 
 
 def newest_first(mods: DataFrame) -> DataFrame:
-    """Order by the point in time of the commit, newest first."""
-    return mods.orderBy(instant(F.col("committed_date")).desc(), "hash")
+    """Order by the point in time of the commit, newest first.
+
+    A hash of the whole row breaks ties, so that the sort can spread a commit
+    with very many files over several tasks.
+    """
+    return mods.orderBy(instant(F.col("committed_date")).desc(), "hash", F.xxhash64(*mods.columns))
 
 
 def dates_in_gmt(mods: DataFrame) -> DataFrame:

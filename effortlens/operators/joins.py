@@ -7,11 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effortlens.session import materialise
-
-# A look-up row is a key of at most a few hundred bytes and some numbers, so a
-# broadcast of this many rows stays in the tens of megabytes.
-BROADCAST_ROWS = 50_000
+from effortlens.session import SMALL_ROWS, materialise, settle
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]):
@@ -19,24 +15,25 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]):
 
 
 def join_lookup(
-    big: DataFrame, lookup: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS
+    big: DataFrame, lookup: DataFrame, keys: list[str], max_rows: int = SMALL_ROWS
 ) -> DataFrame:
     """Left join `big` with a `lookup` that has one row per key.
 
-    A lookup of at most `max_rows` rows (counted, never assumed) is broadcast,
-    so `big` is not shuffled. A larger one is split: fewer than `max_rows` keys
-    can each hold more than a `max_rows`-th of the rows of `big`. Their rows
-    meet a broadcast of just those keys; every other key is small enough for a
-    shuffled join.
+    The lookup is computed once. One of at most `max_rows` rows (counted, never
+    assumed) is broadcast, so `big` is not shuffled. A larger one is split:
+    fewer than `max_rows` keys can each hold more than a `max_rows`-th of the
+    rows of `big`. Their rows meet a broadcast of just those keys; every other
+    key is small enough for a shuffled join.
     """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(lookup), keys, "left")
+    table, small = settle(lookup, "lookup", max_rows)
+    if small:
+        return big.join(F.broadcast(table), keys, "left")
 
     counts = materialise(big.groupBy(*keys).agg(F.count("*").alias("n_rows")), "key-counts")
     total = counts.agg(F.sum("n_rows")).first()[0] or 0
     heavy_keys = counts.where(F.col("n_rows") * max_rows > total).select(keys)
-    heavy = materialise(heavy_keys.join(lookup, keys, "left"), "heavy-keys")
-    values = [c for c in lookup.columns if c not in keys]
+    heavy = materialise(heavy_keys.join(table, keys, "left"), "heavy-keys")
+    values = [c for c in table.columns if c not in keys]
 
     near = F.broadcast(heavy)
     hot = big.join(near, _same(big, near, keys), "inner").select(
@@ -44,5 +41,5 @@ def join_lookup(
     )
     only_keys = F.broadcast(heavy.select(keys))
     rest = big.join(only_keys, _same(big, only_keys, keys), "left_anti")
-    cold = rest.join(lookup, keys, "left").select(*big.columns, *values)
+    cold = rest.join(table, keys, "left").select(*big.columns, *values)
     return hot.unionByName(cold)

@@ -6,19 +6,20 @@ import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from typing import TypeVar
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from effortlens.functions.numbers import argmax
 from effortlens.operators.statistics import ranges, scaled_name, unscaled
 from effortlens.schema import FEATURES, MIXTURE
-from effortlens.session import materialise
+from effortlens.session import settle
 
 # Fixed values.
 CLUSTERS = 5
@@ -230,7 +231,6 @@ def moment_mixture(scaled: DataFrame) -> DataFrame:
         F.array(*[F.avg(n) for n in names]).alias("mean"),
         F.array(*variances).alias("variance"),
     )
-    per_ext = grouped.groupBy("file_ext").agg(F.sum("n_rows").alias("n_ext"))
     root = F.array(
         *[
             1.0 / F.sqrt(F.col("variance")[i]) if i == j else F.lit(0.0)
@@ -242,7 +242,9 @@ def moment_mixture(scaled: DataFrame) -> DataFrame:
     covariance = F.array(
         *[F.col("variance")[i] if i == j else F.lit(0.0) for i in range(size) for j in range(size)]
     )
-    parameters = grouped.join(per_ext, "file_ext").select(
+    known, _ = settle(grouped, "clusters")
+    totals = known.groupBy("file_ext").agg(F.sum("n_rows").alias("n_ext"))
+    parameters = known.join(totals, "file_ext").select(
         "file_ext",
         "cluster",
         (F.col("n_rows") / F.col("n_ext")).alias("weight"),
@@ -251,7 +253,7 @@ def moment_mixture(scaled: DataFrame) -> DataFrame:
         root.alias("precision_root"),
         log_det.alias("log_det"),
     )
-    return materialise(parameters, "mixture")
+    return settle(parameters, "mixture")[0]
 
 
 def centroids(mixture: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -265,12 +267,11 @@ def centroids(mixture: DataFrame, fitted: DataFrame) -> DataFrame:
     )
 
 
-def _posterior_terms(mixture: DataFrame, fitted: DataFrame) -> dict[str, tuple]:
+def _posterior_terms(rows: list[Row]) -> dict[str, tuple]:
     """Per extension the arrays the posterior needs."""
-    limits = [f"{f}_{end}" for f in FEATURES for end in ("min", "max")]
     size = len(FEATURES)
     parts: dict[str, list] = {}
-    for row in mixture.join(fitted, "file_ext").select(*mixture.columns, *limits).collect():
+    for row in rows:
         parts.setdefault(row.file_ext, []).append(row)
     terms = {}
     for ext, rows in parts.items():
@@ -325,22 +326,24 @@ def with_posteriors(
     there be more than `MODELS_AT_ONCE` models, the extensions are taken in
     slices by hash, each with its own models.
     """
-    n_models = mixture.select("file_ext").distinct().count()
-    slices = max(1, math.ceil(n_models / MODELS_AT_ONCE))
+    models = mixture.join(fitted, "file_ext")
     ext = F.coalesce("file_ext", F.lit(""))
-    result = None
+    rows = models.limit(MODELS_AT_ONCE * k + 1).collect()
+    if len(rows) <= MODELS_AT_ONCE * k:
+        return _add_posteriors(frame, rows, k)
+    slices = math.ceil(models.count() / (MODELS_AT_ONCE * k)) + 1
+    parts = []
     for number in range(slices):
         mine = F.pmod(F.xxhash64(ext), F.lit(slices)) == number
-        rows, models = (frame, mixture) if slices == 1 else (frame.where(mine), mixture.where(mine))
-        posterior = _posterior_of(_posterior_terms(models, fitted), k)
-        found = posterior(ext, F.struct(*FEATURES))
-        part = rows.withColumn("_found", found).withColumn(
-            "posteriors",
-            F.when(F.col("_found.p0").isNotNull(), F.array(*[F.col(f"_found.p{c}") for c in range(k)])),
-        )
-        part = part.drop("_found")
-        result = part if result is None else result.unionByName(part)
-    return result
+        parts.append(_add_posteriors(frame.where(mine), models.where(mine).collect(), k))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _add_posteriors(frame: DataFrame, models: list[Row], k: int) -> DataFrame:
+    posterior = _posterior_of(_posterior_terms(models), k)
+    found = frame.withColumn("_found", posterior(F.coalesce("file_ext", F.lit("")), F.struct(*FEATURES)))
+    shares = F.array(*[F.col(f"_found.p{c}") for c in range(k)])
+    return found.withColumn("posteriors", F.when(F.col("_found.p0").isNotNull(), shares)).drop("_found")
 
 
 def assign_clusters(
@@ -351,7 +354,7 @@ def assign_clusters(
     `frame` holds raw features; `fitted` are the ranges to scale with, by
     default those of `frame` itself.
     """
-    low_high = materialise(ranges(frame), "ranges") if fitted is None else fitted
+    low_high = settle(ranges(frame), "ranges")[0] if fitted is None else fitted
     return with_posteriors(frame, mixture, low_high, k).select(
         *frame.columns, "posteriors", argmax(F.col("posteriors")).alias("cluster")
     )

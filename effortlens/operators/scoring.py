@@ -9,7 +9,7 @@ from effortlens.operators.joins import join_lookup
 from effortlens.operators.mixture import CLUSTERS, centroids, with_posteriors
 from effortlens.operators.statistics import at_least, ranges
 from effortlens.schema import NO_MODEL
-from effortlens.session import materialise
+from effortlens.session import settle
 
 
 def score_mods(
@@ -29,12 +29,9 @@ def score_mods(
     """
     if min_rows:
         frame = at_least(frame, min_rows)
-    low_high = materialise(ranges(frame), "ranges") if fitted is None else fitted
-    values = materialise(
-        centroids(mixture, low_high).select(
-            "file_ext", F.col("cluster").alias("cluster_id"), F.col("Sum_centroids").alias("sum_centroid")
-        ),
-        "cluster-values",
+    low_high = settle(ranges(frame), "ranges")[0] if fitted is None else fitted
+    values = centroids(mixture, low_high).select(
+        "file_ext", F.col("cluster").alias("cluster_id"), F.col("Sum_centroids").alias("sum_centroid")
     )
     scored = join_lookup(with_posteriors(frame, mixture, low_high, k), values, ["file_ext", "cluster_id"])
     cluster = F.col("cluster_id")

@@ -1,8 +1,7 @@
 """Statistics per file extension: outliers, scaling, training gates.
 
-Every operator here makes one pre-aggregating pass over the six features, keeps
-the few resulting rows as a written table, and meets the mods again through
-`join_lookup`. The mods themselves are never shuffled by extension, so an
+Every operator here makes one pre-aggregating pass over the six features, whose
+few resulting rows meet the mods again through `join_lookup`. The mods themselves are never shuffled by extension, so an
 extension with a third of all rows does no harm.
 """
 
@@ -53,7 +52,7 @@ def flag_inliers(frame: DataFrame, z: float = OUTLIER_Z, features: Sequence[str]
     A feature that is constant within an extension has no standard score, which
     makes every row of that extension an outlier.
     """
-    stats = materialise(moments(frame, features=features).drop("n_rows"), "moments")
+    stats = moments(frame, features=features).drop("n_rows")
     inside = F.lit(True)
     for f in features:
         inside = inside & F.coalesce(F.abs(_standard_score(f)) < z, F.lit(False))
@@ -78,7 +77,7 @@ def scale_minmax(frame: DataFrame, fitted: DataFrame | None = None) -> DataFrame
 
     `fitted` takes ranges of other rows (`ranges`) in place of those of `frame`.
     """
-    stats = materialise(ranges(frame), "ranges") if fitted is None else fitted
+    stats = ranges(frame) if fitted is None else fitted
     scaled = [
         ratio_or_zero(F.col(f) - F.col(f"{f}_min"), F.col(f"{f}_max") - F.col(f"{f}_min")).alias(
             scaled_name(f)
@@ -96,10 +95,9 @@ def unscaled(value: Column, low: Column, high: Column) -> Column:
 def standardise(frame: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Replace each feature by its standard score (population deviation); constants become 0."""
     if by:
-        stats = materialise(moments(frame, by, features).drop("n_rows"), "moments")
-        joined = join_lookup(frame, stats, list(by))
+        joined = join_lookup(frame, moments(frame, by, features).drop("n_rows"), list(by))
     else:
-        stats = materialise(moments(frame, (), features).drop("n_rows"), "moments").first().asDict()
+        stats = moments(frame, (), features).drop("n_rows").first().asDict()
         joined = frame.withColumns({name: F.lit(value) for name, value in stats.items()})
     scores = {f: F.coalesce(_standard_score(f), F.lit(0.0)) for f in features}
     return joined.withColumns(scores).select(frame.columns)
@@ -135,7 +133,7 @@ def trainable_extensions(
 
 def at_least(frame: DataFrame, min_rows: int) -> DataFrame:
     """Rows of the extensions that have at least `min_rows` rows."""
-    counts = materialise(frame.groupBy("file_ext").agg(F.count("*").alias("n_rows")), "ext-counts")
+    counts = frame.groupBy("file_ext").agg(F.count("*").alias("n_rows"))
     return join_lookup(frame, counts, ["file_ext"]).where(F.col("n_rows") >= min_rows).drop("n_rows")
 
 
@@ -149,14 +147,15 @@ def training_set(featured: DataFrame, min_rows: int = MIN_TRAINING_ROWS, z: floa
     """
     keep = ["file_ext", "hash", "Author", "language_supported", *FEATURES]
     frame = featured.select([c for c in keep if c in featured.columns])
-    stats = materialise(
-        frame.groupBy("file_ext").agg(
+    stats = (
+        frame.groupBy("file_ext")
+        .agg(
             F.count("*").alias("n_rows"),
             F.min_by("language_supported", F.struct("hash")).alias("supported"),
             *[e for f in FEATURES for e in (F.avg(f).alias(f"{f}_avg"), F.stddev_pop(f).alias(f"{f}_sd"))],
-        ),
-        "training-moments",
-    ).where((F.col("n_rows") >= min_rows) & F.col("supported"))
+        )
+        .where((F.col("n_rows") >= min_rows) & F.col("supported"))
+    )
     inside = F.lit(True)
     for f in FEATURES:
         inside = inside & F.coalesce(F.abs(_standard_score(f)) < z, F.lit(False))

@@ -65,3 +65,20 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     else:
         df.hint("rebalance", by).write.partitionBy(by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+# A settled row is a key of at most a few hundred bytes and some numbers, so this
+# many stay in the tens of megabytes, on the driver and in a broadcast.
+SMALL_ROWS = 50_000
+
+
+def settle(df: DataFrame, name: str, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """Compute a table that is expected to be small, once, and tell whether it is.
+
+    Up to `max_rows` rows (fetched with a limit, never assumed) it becomes a
+    local table; beyond, it is written to the shared folder.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return df.sparkSession.createDataFrame(rows, df.schema), True
+    return materialise(df, name), False

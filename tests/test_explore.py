@@ -1,0 +1,75 @@
+import numpy as np
+import pytest
+
+from effortlens.operators import explore as ex
+
+NAMES = ["x0", "x1", "x2"]
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    random = np.random.default_rng(5)
+    x = np.vstack([random.normal(4 * c, 1.0, (40, 3)) for c in range(3)] + [[[50.0, 50.0, 50.0]]])
+    labels = [0] * 40 + [1] * 40 + [2] * 40 + [7]
+    rows = [(i, int(c), *map(float, r)) for i, (r, c) in enumerate(zip(x, labels))]
+    frame = spark.createDataFrame(rows, "id int, cluster int, x0 double, x1 double, x2 double")
+    return frame, x, np.array(labels)
+
+
+def brute_force(x, labels, squared):
+    distance = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    distance = distance**2 if squared else distance
+    found = []
+    for i, own in enumerate(labels):
+        mine = (labels == own).sum()
+        if mine == 1:
+            found.append(0.0)
+            continue
+        a = distance[i][labels == own].sum() / (mine - 1)
+        b = min(distance[i][labels == c].mean() for c in set(labels) - {own})
+        found.append((b - a) / max(a, b))
+    return np.array(found)
+
+
+def test_squared_silhouette(points):
+    frame, x, labels = points
+    rows = ex.silhouette_samples(frame, NAMES).orderBy("id").collect()
+    assert np.array([r.silhouette for r in rows]) == pytest.approx(brute_force(x, labels, True), abs=1e-9)
+
+
+@pytest.mark.parametrize("block_rows", [1000, 16])
+def test_plain_silhouette(points, block_rows):
+    frame, x, labels = points
+    rows = ex.silhouette_euclidean(frame, NAMES, "id", block_rows=block_rows).orderBy("id").collect()
+    assert np.array([r.silhouette for r in rows]) == pytest.approx(brute_force(x, labels, False), abs=1e-9)
+
+
+def test_mean_silhouette(points):
+    frame, x, labels = points
+    assert ex.silhouette_mean(frame, NAMES) == pytest.approx(brute_force(x, labels, True).mean())
+
+
+def test_kmeans_finds_the_groups(points):
+    frame, _, _ = points
+    for init in ("k-means++", "random"):
+        labelled, model = ex.kmeans(frame.drop("cluster"), NAMES, k=3, init=init, max_iterations=50)
+        assert labelled.where("cluster is null").count() == 0
+        assert ex.centres_table(model, frame).count() == 9
+
+
+def test_components(points):
+    frame, x, _ = points
+    scores, model = ex.pca(frame, NAMES, k=3)
+    shares = ex.explained_variance(model, frame).orderBy("component").collect()
+    scaled = (x - x.mean(axis=0)) / x.std(axis=0)
+    wanted = np.sort(np.linalg.eigvalsh(np.cov(scaled.T)))[::-1]
+    assert [r.ratio for r in shares] == pytest.approx(wanted / wanted.sum())
+    assert shares[-1].cumulative == pytest.approx(1.0)
+    found = np.array([[r.pc0, r.pc1, r.pc2] for r in scores.orderBy("id").collect()])
+    assert found.var(axis=0, ddof=1) == pytest.approx(wanted)
+
+
+def test_unit_rows(spark):
+    frame = spark.createDataFrame([(3.0, 4.0), (0.0, 0.0)], "a double, b double")
+    rows = ex.normalise_rows(frame, ["a", "b"]).collect()
+    assert sorted(map(tuple, rows)) == [(0.0, 0.0), (0.6, 0.8)]

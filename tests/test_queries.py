@@ -1,0 +1,21 @@
+import pytest
+from compare import difference
+
+from effortlens.plans.catalog import CHECKS, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(CHECKS))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    assert difference(QUERIES[name](spark, sf_dir), sf_dir, CHECKS[name]) is None
+
+
+def test_a_difference_is_seen(spark, sf_dir):
+    changed = CHECKS["score_cube"].replace("0.7", "0.71")
+    assert difference(QUERIES["score_cube"](spark, sf_dir), sf_dir, changed) is not None
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -1,0 +1,153 @@
+import json
+import os
+
+import pytest
+
+from effortlens.plans import fixtures, jobs
+from effortlens.session import fresh_path, materialise
+from effortlens.sources import csv as csv_files
+from effortlens.sources import json as json_files
+from effortlens.sources import store as stores
+from effortlens.streaming import refresh as stream_refresh
+from effortlens.streaming import rollup
+
+
+def write(path, content):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as file:
+        file.write(content)
+
+
+def test_csv_with_index_columns_and_messages_over_lines(spark, tmp_path):
+    path = str(tmp_path / "mods.csv")
+    write(
+        path,
+        ',Unnamed: 0,hash,message,merge_commit?,tokens,language_supported,dmm_unit_size,extra\n'
+        '0,0,c1,"two\nlines, ""quoted""",True,12.0,False,0.5,x\n'
+        "1,1,c2,plain,False,,True,,\n",
+    )
+    mods = csv_files.read_mods_csv(spark, path)
+    assert mods.columns == ["hash", "message", "merge_commit", "tokens", "language_supported", "dmm_unit_size", "extra"]
+    first, second = mods.orderBy("hash").collect()
+    assert tuple(first) == ("c1", 'two\nlines, "quoted"', True, 12, False, 0.5, "x")
+    assert tuple(second) == ("c2", "plain", False, None, True, None, None)
+
+
+def test_many_csv_files_with_their_origin(spark, tmp_path):
+    write(str(tmp_path / "a.csv"), "hash,tokens\nc1,1\n")
+    write(str(tmp_path / "b.csv"), "tokens,hash\n2,c2\n")
+    write(str(tmp_path / "c.csv"), "hash\nc3\n")
+    paths = [str(tmp_path / f"{n}.csv") for n in "abc"]
+    rows = csv_files.read_mods_many(spark, paths).collect()
+    found = sorted((r.hash, r.tokens, os.path.basename(r.origin)) for r in rows)
+    assert found == [("c1", 1, "a.csv"), ("c2", 2, "b.csv"), ("c3", None, "c.csv")]
+
+
+def test_files_rewritten_in_gmt(spark, tmp_path):
+    header = "hash,committed_date,authored_date\n"
+    write(str(tmp_path / "a.csv"), header + "c1,2020-12-31 23:30:00-05:00,2020-12-31 22:30:00-05:00\n")
+    write(str(tmp_path / "b.csv"), header + "c2,2020-06-01 00:00:00+02:00,2020-06-01 00:00:00+02:00\n")
+    target = str(tmp_path / "gmt")
+    jobs.rewrite_in_gmt(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], target)
+    assert {d for d in os.listdir(target) if "=" in d} == {"origin=a.csv", "origin=b.csv"}
+    row = csv_files.read_mods_csv(spark, f"{target}/origin=a.csv").first()
+    assert (row.committed_date, row.authored_date) == ("2021-01-01 04:30:00+00:00", "2021-01-01 03:30:00+00:00")
+
+
+def test_csv_is_written_without_index(spark, tmp_path):
+    frame = spark.createDataFrame([("a\nb", True, None)], "message string, merge_commit boolean, x string")
+    csv_files.write_csv(frame, str(tmp_path / "out"))
+    part = next(p for p in os.listdir(tmp_path / "out") if p.endswith(".csv"))
+    assert (tmp_path / "out" / part).read_text() == 'message,merge_commit?,x\n"a\nb",True,\n'
+
+
+def test_json_array(spark, tmp_path):
+    path = str(tmp_path / "mods.json")
+    write(path, json.dumps([{"hash": "c1", "merge_commit?": True, "tokens": 3}, {"hash": "c2", "message": "a\nb"}]))
+    rows = {r.hash: r for r in json_files.read_mods_json(spark, path).collect()}
+    assert rows["c1"].merge_commit is True and rows["c1"].tokens == 3
+    assert rows["c2"].message == "a\nb"
+
+
+def test_store_names_ranges_and_refresh(spark, sf_dir, tmp_path):
+    mods = materialise(fixtures.mods_with_ext(spark, sf_dir), "mods")
+    store = stores.ModStore(spark, str(tmp_path), "Demo")
+    store.create(mods.where("committed_date < '1997'"), fixtures.blame(spark, sf_dir))
+    assert set(os.listdir(tmp_path)) == {"demo_index", "demo_blame_index"}
+    store.refresh(mods)
+    store.refresh(mods)
+    assert store.mods().count() == mods.count()
+    store.append(mods.limit(3))
+    assert store.mods().count() == mods.count() + 3
+
+    from effortlens.operators.commits import scan_range
+
+    found = scan_range(store.mods(), "1995-03-05", "1995-04-07")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(committed_month" in plan
+    assert "GreaterThanOrEqual(committed_ts" in plan
+    assert found.count() > 0
+
+
+def test_scores_overwrite_or_append(spark, tmp_path):
+    scored = spark.createDataFrame([("py", 1.0), ("c++", 2.0), ("007", 3.0)], "file_ext string, mod_score double")
+    path = str(tmp_path / "scores")
+    for append, wanted in ((False, 3), (False, 3), (True, 6)):
+        stores.save_scores(scored, path, append)
+        assert spark.read.parquet(path).count() == wanted
+
+
+def test_roll_up_stream_equals_batch(spark, tmp_path):
+    schema = rollup.SCORED
+    folder, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def more(n, score):
+        rows = [(f"a{i % 3}@x", f"2020-01-0{1 + i % 5} 10:00:00+00:00", "py", True, score) for i in range(n)]
+        csv_files.write_csv(spark.createDataFrame(rows, schema), folder, mode="append")
+        stream = rollup.read_scored_stream(spark, folder)
+        rollup.start_rollup(stream, target, state).awaitTermination()
+
+    def total():
+        return rollup.read_rollup(spark, target).groupBy().sum("score").first()[0]
+
+    more(30, 1.0)
+    assert total() == 30
+    more(0, 1.0)
+    assert total() == 30
+    more(10, 2.0)
+    assert total() == 50
+    batch = rollup.score_cube(spark.read.schema(schema).option("header", True).csv(folder))
+    assert sorted(map(tuple, rollup.read_rollup(spark, target).collect())) == sorted(map(tuple, batch.collect()))
+
+    stream = rollup.read_scored_stream(spark, folder)
+    rollup.start_running_rollup(stream, "running", str(tmp_path / "state2")).awaitTermination()
+    assert spark.table("running").groupBy().sum("score").first()[0] == 50
+
+
+def test_refresh_stream_adds_each_mod_once(spark, sf_dir, tmp_path):
+    mods = materialise(fixtures.mods_with_ext(spark, sf_dir), "mods")
+    store = stores.ModStore(spark, str(tmp_path), "Demo")
+    store.create(mods.where("committed_date < '1997'"))
+    folder = fresh_path(spark, "new")
+    for year in ("1996", "1998"):
+        mods.where(f"committed_date >= '{year}'").write.mode("append").parquet(folder)
+        stream = stream_refresh.read_mod_stream(spark, folder, mods)
+        stream_refresh.start_refresh(stream, store, str(tmp_path / "state")).awaitTermination()
+    assert store.mods().count() == mods.count()
+
+
+def test_shared_folder_is_refused_on_a_cluster_without_setting(monkeypatch):
+    from effortlens import session
+
+    class Context:
+        master = "yarn"
+
+    class Conf:
+        def get(self, key, default):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
