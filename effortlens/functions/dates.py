@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def day_text(column: Column) -> Column:
     """Text before the first blank or `T`: the local day of the committer."""
-    return F.split_part(F.translate(column, "T", " "), F.lit(" "), F.lit(1))
+    return F.substring_index(F.translate(column, "T", " "), " ", 1)
 
 
 def local_day(column: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from effortlens.functions.dates import gmt_text, instant
 from effortlens.functions.text import extension, line_count
+from effortlens.operators.joins import join_lookup
 
 ALL = "All"
 
@@ -58,6 +59,16 @@ def commit_count(mods: DataFrame) -> DataFrame:
     return mods.agg(F.count_distinct("hash").alias("n_commits"))
 
 
+def with_files_per_commit(mods: DataFrame) -> DataFrame:
+    """Add `number_of_mod_files` to flat mods.
+
+    The counts are pre-aggregated and joined back, so a commit of any size is
+    counted without being gathered in one task.
+    """
+    counts = mods.groupBy("hash").agg(F.count("*").cast("int").alias("number_of_mod_files"))
+    return join_lookup(mods.drop("number_of_mod_files"), counts, ["hash"])
+
+
 def check_range(from_day: str | date, to_day: str | date) -> tuple[date, date]:
     """Both days are needed, and the first must come before the second."""
     if not from_day or not to_day:

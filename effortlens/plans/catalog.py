@@ -195,6 +195,13 @@ def commit_count(spark, sf_dir):
     return cm.commit_count(fx.mods(spark, sf_dir))
 
 
+@register(f"WITH {ck.MODS} SELECT hash, file_name, number_lines_added, number_of_mod_files FROM mods")
+def files_per_commit(spark, sf_dir):
+    """The number of files of each commit, counted on flat mods."""
+    mods = fx.mods(spark, sf_dir).select("hash", "file_name", "number_lines_added")
+    return cm.with_files_per_commit(mods)
+
+
 @register(f"WITH {ck.MODS} SELECT hash, file_name, committed_date FROM mods")
 def newest_first(spark, sf_dir):
     return cm.newest_first(fx.mods(spark, sf_dir)).select("hash", "file_name", "committed_date")

@@ -10,7 +10,7 @@ from effortlens.operators import scoring as sc
 from effortlens.operators import statistics as st
 from effortlens.plans import fixtures, jobs
 from effortlens.schema import FEATURES, MIXTURE, NO_MODEL
-from effortlens.session import materialise
+from effortlens.session import fresh_path, materialise
 from effortlens.sources import models as files
 
 
@@ -87,7 +87,7 @@ def test_posteriors_equal_brute_force_in_any_slicing(spark, blobs, monkeypatch):
     mixture = materialise(mx.fit_mixtures(frame, k=3, max_iterations=3), "mixture")
     raw = frame.select("file_ext", "hash", *FEATURES)
     parts = {(r.file_ext, r.cluster): r for r in mixture.collect()}
-    for at_once in (10_000, 0):
+    for at_once in (10_000, 1):
         monkeypatch.setattr(mx, "MODELS_AT_ONCE", at_once)
         rows = mx.assign_clusters(raw, mixture, k=3).collect()
         assert len(rows) == 900
@@ -142,14 +142,12 @@ def test_the_split_is_stable_and_takes_a_quarter(spark):
 
 @pytest.mark.parametrize("kind", ["boosted", "forest"])
 def test_train_save_and_score(spark, sf_dir, kind):
-    root = f"{fixtures.__name__}-{kind}"
-    from effortlens.session import fresh_path
-
     root = fresh_path(spark, "models")
-    mods = materialise(fixtures.mods_with_ext(spark, sf_dir), "mods")
+    some = fixtures.mods_with_ext(spark, sf_dir).where("file_ext in ('py', 'c++', 'md')")
+    mods = materialise(some, "mods")
     jobs.train(mods, root, kind=kind, rounds=3, depth=3, max_iterations=5)
     listed = {r.file_ext: r for r in files.registry(spark, root).collect()}
-    assert set(listed) == {"py", "js", "java", "c++", "c#"}
+    assert set(listed) == {"py", "c++"}
     assert all(r.kind == kind and r.n_rows > 500 and 0.5 < r.accuracy <= 1 for r in listed.values())
 
     weights = files.load_mixture(spark, root).groupBy("file_ext").agg(F.sum("weight").alias("w")).collect()
