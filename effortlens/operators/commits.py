@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from effortlens.functions.dates import gmt_text, instant
 from effortlens.functions.text import extension, line_count
-from effortlens.operators.joins import join_lookup
 
 ALL = "All"
 
@@ -62,11 +61,11 @@ def commit_count(mods: DataFrame) -> DataFrame:
 def with_files_per_commit(mods: DataFrame) -> DataFrame:
     """Add `number_of_mod_files` to flat mods.
 
-    The counts are pre-aggregated and joined back, so a commit of any size is
-    counted without being gathered in one task.
+    The counts are pre-aggregated and joined back on the mod side's own
+    shuffle, where adaptive execution can split a commit of any size.
     """
     counts = mods.groupBy("hash").agg(F.count("*").cast("int").alias("number_of_mod_files"))
-    return join_lookup(mods.drop("number_of_mod_files"), counts, ["hash"])
+    return mods.drop("number_of_mod_files").join(counts, "hash", "left")
 
 
 def check_range(from_day: str | date, to_day: str | date) -> tuple[date, date]:
@@ -105,10 +104,11 @@ def has_commits(mods: DataFrame) -> bool:
 def newest_first(mods: DataFrame) -> DataFrame:
     """Order by the point in time of the commit, newest first.
 
-    A hash of the whole row breaks ties, so that the sort can spread a commit
-    with very many files over several tasks.
+    A hash of the paths breaks ties, so that the sort can spread a commit with
+    very many files over several tasks.
     """
-    return mods.orderBy(instant(F.col("committed_date")).desc(), "hash", F.xxhash64(*mods.columns))
+    tie = F.xxhash64(*[c for c in ("file_new_path", "file_old_path", "file_name") if c in mods.columns])
+    return mods.orderBy(instant(F.col("committed_date")).desc(), "hash", tie)
 
 
 def dates_in_gmt(mods: DataFrame) -> DataFrame:
