@@ -48,10 +48,8 @@ class ModStore:
         return self.spark.read.parquet(self.blame_path).distinct()
 
     def refresh(self, new: DataFrame) -> None:
-        """Append the mods that are not stored yet; nothing happens if there are none."""
-        fresh = unseen(self.mods(), new)
-        if not fresh.isEmpty():
-            self._write(fresh, "append")
+        """Append the mods that are not stored yet, each once; if there are none, no file is written."""
+        self._write(unseen(self.mods(), new).dropDuplicates(), "append")
 
 
 def save_email_map(emails: DataFrame, path: str) -> None:

@@ -17,7 +17,7 @@ def start_refresh(new: DataFrame, store: ModStore, checkpoint: str) -> Streaming
     """Add each micro-batch's unseen mods to the store; a repeated batch adds nothing."""
 
     def add(batch: DataFrame, number: int) -> None:
-        store.refresh(batch.dropDuplicates())
+        store.refresh(batch)
 
     return (
         new.writeStream.foreachBatch(add)
