@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from effortlens.schema import EDGE_NAMES, MOD
+from effortlens.schema import COMMIT, EDGE_NAMES, MOD
 
 _BACK = {edge: name for name, edge in EDGE_NAMES.items()}
 
@@ -19,3 +19,8 @@ def read_mods_json(spark: SparkSession, path: str | list[str], lines: bool = Fal
 def write_mods_json(mods: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One record per line."""
     mods.withColumnsRenamed(EDGE_NAMES).write.mode(mode).json(path)
+
+
+def read_commits_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """Nested commits from JSON, the input of `explode_commits`."""
+    return spark.read.schema(COMMIT).option("multiLine", not lines).json(path)
