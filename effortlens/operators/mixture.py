@@ -34,9 +34,6 @@ FITS_AT_ONCE = 4
 # Models whose parameters travel with one function, about a kilobyte each.
 MODELS_AT_ONCE = 10_000
 
-# Cells of the upper triangle of a covariance matrix.
-_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-
 Model = TypeVar("Model")
 
 
@@ -94,12 +91,13 @@ def _sums(rows: DataFrame, shares_of: Callable) -> dict[str, np.ndarray]:
             for ext, block in batch.groupby("file_ext", sort=False):
                 x = block.drop(columns="file_ext").to_numpy(dtype=float)
                 shares, log_likelihood = shares_of(ext, x)
+                shared = (shares[:, :, None] * x[:, None, :]).reshape(len(x), -1)
                 sums = np.concatenate(
                     [
                         [len(x), log_likelihood.sum()],
                         shares.sum(axis=0),
-                        (shares.T @ x).ravel(),
-                        np.einsum("nc,ni,nj->cij", shares, x, x, optimize=True).ravel(),
+                        shared.sum(axis=0),
+                        (shared.T @ x).ravel(),
                     ]
                 )
                 total[ext] = total[ext] + sums if ext in total else sums

@@ -11,7 +11,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
-# One row per file touched by a commit.
+# One row per file touched by a commit.
 MOD = _struct(
     ("hash", _S),
     ("Author", _S),
@@ -90,10 +90,10 @@ BLAME = _struct(("orig_hash", _S), ("blame_hash", _S), ("file", _S))
 
 EMAIL_MAP = _struct(("Email_encrypted", _S), ("Email", _S))
 
-# Columns replaced by their hash before data leaves its owner.
+# Columns replaced by their hash before data leaves its owner.
 PERSONAL = ("Author", "Email", "Committer", "file_name", "file_old_path", "file_new_path")
 
-# Feature order is part of every model; keep it.
+# The features, in the order every model keeps.
 FEATURES = (
     "feature_total_changed",
     "feature_add_del_functions",
@@ -113,5 +113,6 @@ MIXTURE = _struct(
     ("log_det", _D),
 )
 
+# What stands for a missing extension and a missing model.
 NO_EXT = "NoExt"
 NO_MODEL = "No Model found"

@@ -1,0 +1,76 @@
+"""Results stay whole when one author, extension, commit and file hold a third of all rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from effortlens.operators import blame as bl
+from effortlens.operators import commits as cm
+from effortlens.operators import features as ft
+from effortlens.operators import joins
+from effortlens.operators import privacy as pv
+from effortlens.operators import refresh as rf
+from effortlens.operators import report as rp
+from effortlens.operators import statistics as st
+from effortlens.plans import fixtures
+from effortlens.session import materialise
+
+
+@pytest.fixture(scope="module")
+def mods(spark):
+    hot = F.col("copy") <= 3
+    many = fixtures.mods_with_ext(spark, "/root/testdata/sf0.001").withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.lit(9)))
+    )
+    one = {"Email": "hot@x", "hash": "hot", "file_ext": "py", "file_new_path": "src/hot.py", "file_name": "hot.py"}
+    cells = {name: F.when(hot, value).otherwise(F.col(name)) for name, value in one.items()}
+    cells["hash"] = F.when(hot, "hot").otherwise(F.concat("hash", F.lit("_"), "copy"))
+    return materialise(many.withColumns(cells).drop("copy"), "skewed")
+
+
+@pytest.fixture(scope="module")
+def table(mods):
+    return mods.toPandas()
+
+
+def test_cube_and_series(mods, table):
+    scored = ft.add_features(mods).withColumnRenamed("feature_total_changed", "mod_score")
+    score = (table.number_lines_added + table.number_lines_removed) ** 0.7
+    kept = table.language_supported & (table.file_ext != "NoExt")
+    wanted = score[kept].groupby([table.Email[kept], table.committed_date[kept].str[:10], table.file_ext[kept]]).sum()
+    found = rp.score_cube(scored).toPandas().set_index(["Email", "date", "file_ext"]).score
+    assert len(found) == len(wanted)
+    assert found.sort_index().to_numpy() == pytest.approx(wanted.sort_index().to_numpy())
+    total = rp.author_totals(rp.month_series(scored, "py", (1996, 1), (1996, 12))).where("Email = 'hot@x'").first()
+    mine = kept & (table.Email == "hot@x") & (table.committed_date.str[:4] == "1996")
+    assert total.total == pytest.approx(score[mine].sum())
+
+
+def test_outliers(mods):
+    frame = ft.scoring_frame(ft.add_features(mods))
+    summary = {r.file_ext: r for r in st.extension_summary(frame).collect()}
+    assert summary["py"].n_rows > mods.count() / 3
+    assert all(r.n_inliers + r.n_outliers == r.n_rows for r in summary.values())
+    assert sum(r.n_rows for r in summary.values()) == mods.count()
+
+
+def test_files_per_commit(mods, table):
+    found = cm.with_files_per_commit(mods)
+    assert found.count() == len(table)
+    assert found.where("hash = 'hot'").first().number_of_mod_files == (table.hash == "hot").sum()
+
+
+def test_restoring_in_both_ways(mods, monkeypatch):
+    hidden, emails = pv.anonymise(mods)
+    plain = pv.de_anonymise(hidden, emails).groupBy("Email").count().collect()
+    split = joins.join_lookup(hidden, emails, ["Email_encrypted"], max_rows=10).groupBy("Email").count().collect()
+    assert sorted(plain) == sorted(split) and len(plain) > 10
+
+
+def test_labels_and_refresh(mods, table):
+    blame = mods.selectExpr("'x' as orig_hash", "hash as blame_hash", "concat('/r/', file_new_path) as file")
+    found = bl.label_bugs(mods, blame.where("blame_hash = 'hot'")).groupBy("type").count().collect()
+    columns = [c for c in bl.LABELLED if c in table.columns]
+    distinct = table[columns].drop_duplicates()
+    buggy = (distinct.hash == "hot") & (distinct.file_name == "hot.py")
+    assert {r["type"]: r["count"] for r in found} == {"Buggy": buggy.sum(), "Clean": (~buggy).sum()}
+    assert rf.unseen(mods.where("hash = 'hot'"), mods).count() == (table.hash != "hot").sum()
