@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,6 +149,26 @@ def _values(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(data.tobytes(), kind)
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string: byte planes next to each other, as high bytes are mostly alike."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in map(np.ascontiguousarray, arrays)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(packed: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
+    data, out, at = zstandard.ZstdDecompressor().decompress(packed), [], 0
+    for kind, n in kinds:
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * size
+    return out
+
+
+def _gaps(sorted_values: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for `sizes[0]` numbers, then the same for the others."""
     ends = np.cumsum(sizes)
@@ -280,10 +301,17 @@ class RunLengthIndex:
 
 
 def _string_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mixed((sums[starts + sizes] - sums[starts]) * down[starts] + sizes.astype(np.uint64))
+    """Hashes of strings that lie end to end in `data`, worked out in blocks."""
+    out = np.empty(len(starts), np.uint64)
+    for first, last in blocks(np.append(starts, len(data)), BLOCK):
+        begin = starts[first]
+        end = starts[last - 1] + sizes[last - 1]
+        up, down = powers(end - begin + 1)
+        sums = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum((data[begin:end].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        at, size = starts[first:last] - begin, sizes[first:last]
+        out[first:last] = mixed((sums[at + size] - sums[at]) * down[at] + size.astype(np.uint64))
+    return out
 
 
 def marked_ranges(
@@ -337,8 +365,9 @@ def marked_ranges(
 # --- the passes --------------------------------------------------------------------
 
 _ANCHORS = "bucket int, group int, rests binary"
-_STRETCHES = "bucket int, group int, rests binary, docs binary, rows binary, starts binary, sizes binary, data binary"
-_MARKS = "group int, rows binary, starts binary, stops binary"
+# `packed` holds the stretches' keys, documents, rows, places, lengths and bytes; with no bytes, it holds marks.
+_STRETCHES = "bucket int, group int, n int, n_bytes long, packed binary"
+_MARKS = "group int, n int, packed binary"
 
 
 def _anchor_pass(buckets: int, window: int):
@@ -429,70 +458,78 @@ def _stretch_pass(buckets: int, window: int):
         least = places[row][order][new][np.cumsum(new) - 1]
         later = np.zeros(len(order), bool)
         later[order] = places[row][order] > least
-        marks = [row[later].astype(np.int32), start[later], start[later] + size[later]]
         keep = np.flatnonzero(~later)
         bucket = (key[keep] >> np.uint64(32)).astype(np.int64)
-        turn = np.argsort(bucket, kind="stable")
+        turn = np.lexsort((start[keep], row[keep], bucket))
         keep, bucket = keep[turn], bucket[turn]
-        found, sizes = np.unique(bucket, return_counts=True)
-        sums = np.add.reduceat(size[keep], np.cumsum(sizes) - sizes) if len(found) else np.zeros(0, np.int64)
-        columns = [
-            pa.array(found, pa.int32()),
-            pa.array(np.full(len(found), name), pa.int32()),
-            _binary(key[keep].astype(np.uint32), sizes),
-            _binary(places[row[keep]], sizes),
-            _binary(row[keep].astype(np.int32), sizes),
-            _binary(start[keep], sizes),
-            _binary(size[keep].astype(np.uint8), sizes),
-            _binary(text[_ranges(at[keep], size[keep])], sums),
-        ]
-        out = pa.table(columns, names=[f for f, _ in _stretch_types()])
-        if len(marks[0]):
-            # Rows without `sizes` are marks; they take the way of the stretches back to their group.
-            n = np.array([len(marks[0])])
-            own_marks = [
-                pa.array([name % buckets], pa.int32()), pa.array([name], pa.int32()), _binary(np.zeros(0, np.uint8), n * 0),
-                _binary(marks[2], n), _binary(marks[0], n), _binary(marks[1], n), pa.array([None], pa.binary()),
-                _binary(np.zeros(0, np.uint8), n * 0),
-            ]
-            out = pa.concat_tables([out, pa.table(own_marks, names=out.column_names)])
-        return out
+        found, first = np.unique(bucket, return_index=True)
+        bounds = [*first.tolist(), len(keep)]
+        counts, lengths, packed = [], [], []
+        for a, b in zip(bounds, bounds[1:]):
+            own = keep[a:b]
+            body = text[_ranges(at[own], size[own])]
+            counts.append(b - a)
+            lengths.append(len(body))
+            packed.append(
+                _pack(
+                    key[own].astype(np.uint32), _gaps(places[row[own]]), _gaps(row[own].astype(np.int32)), start[own],
+                    size[own].astype(np.uint8), body,
+                )
+            )
+        found = found.tolist()
+        if later.any():
+            # Marks take the way of the stretches back to their group.
+            found.append(name % buckets)
+            counts.append(int(later.sum()))
+            lengths.append(0)
+            packed.append(_packed_marks(row[later], start[later], start[later] + size[later]))
+        columns = [found, [name] * len(found), counts, lengths, packed]
+        return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, _stretch_types())], names=none.column_names)
 
     return run
 
 
 def _stretch_types() -> list[tuple[str, pa.DataType]]:
-    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     return [(f, kinds[t]) for f, t in (x.split() for x in _STRETCHES.split(", "))]
 
 
+def _packed_marks(rows: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> bytes:
+    order = np.lexsort((starts, rows))
+    return _pack(_gaps(rows[order].astype(np.int32)), starts[order], (stops - starts)[order])
+
+
 def _index_pass(window: int):
     def run(table: pa.Table) -> pa.Table:
-        local = pa.compute.is_null(table.column("sizes"))
-        given = table.filter(local)
-        table = table.filter(pa.compute.invert(local))
-        parts = [
-            pa.table({"group": given.column("group"), "rows": given.column("rows"), "starts": given.column("starts"), "stops": given.column("docs")})
-        ]
-        if len(table):
-            sizes = _values(table.column("sizes"), np.uint8).astype(np.int64)
-            own, first, end = marked_ranges(
-                _values(table.column("data"), np.uint8), sizes, _values(table.column("docs"), np.int64),
-                _values(table.column("rests"), np.uint32), window,
-            )
-            n = pa.compute.binary_length(table.column("sizes")).to_numpy()
-            groups = np.repeat(table.column("group").to_numpy(), n)[own]
-            rows = _values(table.column("rows"), np.int32)[own]
-            starts = _values(table.column("starts"), np.int64)[own]
-            order = np.argsort(groups, kind="stable")
-            found, counts = np.unique(groups, return_counts=True)
-            parts.append(
-                pa.table(
-                    {"group": pa.array(found, pa.int32()), "rows": _binary(rows[order], counts),
-                     "starts": _binary((starts + first)[order], counts), "stops": _binary((starts + end)[order], counts)}
-                )
+        out_groups, out_counts, out_packed = [], [], []
+        parts: list[tuple[np.ndarray, ...]] = []
+        for group, n, n_bytes, packed in zip(*(table.column(c).to_pylist() for c in ("group", "n", "n_bytes", "packed"))):
+            if not n_bytes:
+                out_groups.append(group)
+                out_counts.append(n)
+                out_packed.append(packed)
+                continue
+            rests, docs, rows, starts, sizes, data = _unpack(
+                packed, (np.uint32, n), (np.int64, n), (np.int32, n), (np.int64, n), (np.uint8, n), (np.uint8, n_bytes)
             )
-        return pa.concat_tables([p.cast(pa.schema([("group", pa.int32()), ("rows", pa.binary()), ("starts", pa.binary()), ("stops", pa.binary())])) for p in parts])
+            parts.append((np.full(n, group, np.int32), rests, np.cumsum(docs), np.cumsum(rows), starts, sizes.astype(np.int64), data))
+        if parts:
+            groups, rests, docs, rows, starts, sizes, data = (np.concatenate([p[i] for p in parts]) for i in range(7))
+            parts.clear()
+            own, first, end = marked_ranges(data, sizes, docs, rests, window)
+            order = np.argsort(groups[own], kind="stable")
+            own, first, end = own[order], first[order], end[order]
+            found, at = np.unique(groups[own], return_index=True)
+            bounds = [*at.tolist(), len(own)]
+            for group, a, b in zip(found.tolist(), bounds, bounds[1:]):
+                x = own[a:b]
+                out_groups.append(group)
+                out_counts.append(b - a)
+                out_packed.append(_packed_marks(rows[x], starts[x] + first[a:b], starts[x] + end[a:b]))
+        return pa.table(
+            [pa.array(out_groups, pa.int32()), pa.array(out_counts, pa.int32()), pa.array(out_packed, pa.binary())],
+            names=["group", "n", "packed"],
+        )
 
     return run
 
@@ -502,10 +539,12 @@ def _cut_pass(group: pa.Table, marks: pa.Table) -> pa.Table:
     group = _in_order(group)
     data, offsets = utf8(group.column("text"))
     n = len(group)
-    rows = _values(marks.column("rows"), np.int32)
-    change = np.zeros(len(data) + 1, np.int64)
-    np.add.at(change, offsets[rows] + _values(marks.column("starts"), np.int64), 1)
-    np.add.at(change, offsets[rows] + _values(marks.column("stops"), np.int64), -1)
+    change = np.zeros(len(data) + 1, np.int32)
+    for count, packed in zip(marks.column("n").to_pylist(), marks.column("packed").to_pylist()):
+        rows, starts, lengths = _unpack(packed, (np.int32, count), (np.int64, count), (np.int64, count))
+        begin = offsets[np.cumsum(rows)] + starts
+        np.add.at(change, begin, 1)
+        np.add.at(change, begin + lengths, -1)
     gone = np.cumsum(change[:-1]) > 0
     before = np.append(False, gone[:-1])[: len(gone)]
     after = np.append(gone[1:], False)[: len(gone)]
