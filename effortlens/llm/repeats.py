@@ -39,10 +39,11 @@ BLOCK = 1 << 18
 # Bytes of stretches in one index, at about; stretches of one anchor stay together.
 INDEX_BYTES = 1 << 19
 # An anchor in more groups than this is common, as at the edges of a passage that very many
-# documents share: its windows are dealt to buckets one by one, by their own hash.
-COMMON_GROUPS = 64
+# documents share. Its stretches, at most a few per group and all different, would be more than a
+# bucket should hold: its windows are dealt to buckets one by one, by their own hash.
+COMMON_GROUPS = 4096
 # Groups and buckets per shuffle partition.
-GROUPS, BUCKETS = 4, 2
+GROUPS, BUCKETS = 2, 1
 
 _PLACE_BITS = 24
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
@@ -385,26 +386,30 @@ def _anchor_pass(buckets: int, window: int):
     return run
 
 
-def _sharing_pass(table: pa.Table) -> pa.Table:
+def _sharing_pass(common_groups: int):
     """Anchors of a bucket that several groups have, back to these groups; `common` tells those of very many."""
-    rests = _values(table.column("rests"), np.uint32)
-    groups = np.repeat(table.column("group").to_numpy(), pa.compute.binary_length(table.column("rests")).to_numpy() // 4)
-    order = np.lexsort((groups, rests))
-    rests, groups = rests[order], groups[order]
-    # A group may name one rest twice, for two anchors.
-    own = np.ones(len(rests), bool)
-    own[1:] = (rests[1:] != rests[:-1]) | (groups[1:] != groups[:-1])
-    rests, groups = rests[own], groups[own]
-    _, at, counts = np.unique(rests, return_inverse=True, return_counts=True)
-    shared = counts[at] > 1
-    rests, groups, common = rests[shared], groups[shared], (counts[at] > COMMON_GROUPS)[shared]
-    order = np.lexsort((rests, groups))
-    found, sizes = np.unique(groups, return_counts=True)
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table(
-        {"bucket": pa.array(np.full(len(found), bucket), pa.int32()), "group": pa.array(found, pa.int32()),
-         "rests": _binary(rests[order], sizes), "common": _binary(common[order].astype(np.uint8), sizes)}
-    )
+
+    def run(table: pa.Table) -> pa.Table:
+        rests = _values(table.column("rests"), np.uint32)
+        groups = np.repeat(table.column("group").to_numpy(), pa.compute.binary_length(table.column("rests")).to_numpy() // 4)
+        order = np.lexsort((groups, rests))
+        rests, groups = rests[order], groups[order]
+        # A group may name one rest twice, for two anchors.
+        own = np.ones(len(rests), bool)
+        own[1:] = (rests[1:] != rests[:-1]) | (groups[1:] != groups[:-1])
+        rests, groups = rests[own], groups[own]
+        _, at, counts = np.unique(rests, return_inverse=True, return_counts=True)
+        shared = counts[at] > 1
+        rests, groups, common = rests[shared], groups[shared], (counts[at] > common_groups)[shared]
+        order = np.lexsort((rests, groups))
+        found, sizes = np.unique(groups, return_counts=True)
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table(
+            {"bucket": pa.array(np.full(len(found), bucket), pa.int32()), "group": pa.array(found, pa.int32()),
+             "rests": _binary(rests[order], sizes), "common": _binary(common[order].astype(np.uint8), sizes)}
+        )
+
+    return run
 
 
 def _stretch_pass(buckets: int, window: int):
@@ -562,7 +567,7 @@ def _cut_pass(group: pa.Table, marks: pa.Table) -> pa.Table:
     )
 
 
-def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def cut_repeats(docs: DataFrame, window: int = WINDOW, common_groups: int = COMMON_GROUPS) -> DataFrame:
     """(doc_id, n_bytes, starts, stops, kept) for every row of `docs` (doc_id, text, any others).
 
     A byte of the UTF-8 text is removed if a string of `window` bytes that covers
@@ -587,7 +592,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     found = texts.groupBy("group").applyInArrow(_anchor_pass(buckets, window), _ANCHORS)
-    shared = found.groupBy("bucket").applyInArrow(_sharing_pass, f"{_ANCHORS}, common binary")
+    shared = found.groupBy("bucket").applyInArrow(_sharing_pass(common_groups), f"{_ANCHORS}, common binary")
     stretches = texts.groupBy("group").cogroup(shared.groupBy("group")).applyInArrow(
         _stretch_pass(buckets, window), _STRETCHES
     )

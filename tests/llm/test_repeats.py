@@ -31,10 +31,10 @@ def brute(rows, window=repeats.WINDOW):
     return out
 
 
-def found(docs):
+def found(docs, **settings):
     return [
         (r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["starts"]), hashlib.sha256(r["kept"]).hexdigest())
-        for r in repeats.cut_repeats(docs).collect()
+        for r in repeats.cut_repeats(docs, **settings).collect()
     ]
 
 
@@ -64,13 +64,14 @@ def test_other_columns_and_no_rows(spark):
     assert found(spark.createDataFrame([], DOC)) == []
 
 
-def test_an_anchor_of_very_many_groups(spark, monkeypatch):
+def test_an_anchor_of_very_many_groups(spark):
     """Windows of common anchors go one by one, with the same result."""
     shared = "a passage that every document of this table holds, word by word, from its first to its last byte"
     rows = [(i, f"{i * 7919} head {i} " + shared + f" tail {i * 31} end {i}", "", "", 0) for i in range(150)]
     docs = spark.createDataFrame(rows, DOC)
-    monkeypatch.setattr(repeats, "GROUPS", 30)
-    assert plain(found(docs)) == plain(brute([(r[0], r[1]) for r in rows]))
+    wanted = plain(brute([(r[0], r[1]) for r in rows]))
+    assert plain(found(docs, common_groups=2)) == wanted
+    assert plain(found(docs)) == wanted
 
 
 def test_index_against_sorted_suffixes():
