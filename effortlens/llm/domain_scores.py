@@ -83,10 +83,10 @@ def _count(keys_of):
 
 @dataclass
 class Models:
-    """Word classes by sorted hash (class 0 is every other word), and losses of words and pairs."""
+    """Word classes by sorted hash (class 0 is every other word), and what is known of words and pairs."""
 
     words: np.ndarray
-    losses: np.ndarray  # (2, classes): unigram probabilities, target and background
+    unigram: np.ndarray  # (2, classes): probabilities, target and background
     totals: np.ndarray  # (2, classes): counts as the first word of a pair
     pairs: np.ndarray  # sorted keys, first class * classes + second class
     counts: np.ndarray  # (2, pairs)
@@ -109,7 +109,7 @@ class Models:
     def differences(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Target loss minus background loss of every word."""
         c = self.classes(words)
-        p = self.losses[:, c].copy()
+        p = self.unigram[:, c].copy()
         if len(words) > 1 and len(self.pairs):
             keys = (c[:-1] * (len(self.words) + 1) + c[1:]).astype(np.uint64)
             at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
@@ -144,7 +144,7 @@ def fit(texts: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PA
     models = Models(keys, unigram, np.zeros((2, classes)), np.zeros(0, np.uint64), np.zeros((2, 0)), mix)
     pairs = materialise(grouped(texts.mapInArrow(_count(models.pair_keys), schema)), "domain-pairs")
     # One row per word class at most.
-    firsts = pairs.groupBy(F.floor(F.col("key") / classes).cast("long").alias("first")).agg(F.sum("target"), F.sum("total")).collect()
+    firsts = pairs.groupBy(F.expr(f"key div {classes}").alias("first")).agg(F.sum("target"), F.sum("total")).collect()
     for first, target, total in firsts:
         models.totals[:, first] = target, total
     models.pairs, models.counts = _collected(pairs, pair_share, max(1.0, pair_share * n[1]))
@@ -181,6 +181,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, **settings:
     model is even over the vocabulary.
     """
     flags = target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("in_target", F.lit(True))
+    # The target may be as large as the corpus: a sorted join at every size, never a broadcast.
+    flags = flags.hint("merge")
     texts = materialise(
         docs.select("doc_id", "text").join(flags, "doc_id", "left").withColumn("in_target", F.coalesce("in_target", F.lit(False))),
         "domain-texts",
