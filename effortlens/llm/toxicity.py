@@ -25,7 +25,7 @@ TRAIN_ROWS = 10_000
 # Terms the machine keeps: those whose presence depends most on the label.
 TERMS = 1024
 FACTORS = 8
-EPOCHS = 30
+EPOCHS = 60
 _HASH_MASK = (1 << 30) - 1
 _PREFIXES = range(4, 11)
 # Length classes of a text: bit length of its number of different words.
