@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 
 from effortlens.operators import (
     blame,
-    classifier,
+    commits,
     features,
     mixture,
     privacy,
+    refresh,
     report,
     scoring,
     statistics as stats,
 )
-from effortlens.plans import fixtures
+from effortlens.operators.joins import join_lookup
+from effortlens.plans import fixtures, jobs
 from effortlens.schema import FEATURES
 from effortlens.session import fresh_path, materialise, spark_session
 from effortlens.sources import csv as csv_files
@@ -108,14 +110,15 @@ def main() -> None:
         "anonymise_restore": median(hide_and_restore),
         "blame_label": median(label),
         "stream_rollup": median(roll_up_stream),
+        "newest_first": median(lambda: run(commits.newest_first(mods))),
+        "refresh_unseen": median(lambda: run(refresh.unseen(mods, mods))),
         "mixture_fit": timed(lambda: mixture.fit_mixtures(java).collect()),
     }
-    clustered = materialise(
-        mixture.assign_clusters(java.select("file_ext", "hash", *FEATURES), mixture.fit_mixtures(java, max_iterations=5)),
-        "bench-clustered",
-        by="file_ext",
-    )
-    seconds["classifier_fit"] = timed(lambda: classifier.fit_classifiers(clustered, rounds=5, depth=4))
+    # The jobs as users run them: every extension, default rounds and depth.
+    models = fresh_path(spark, "bench-models")
+    seconds["train_job"] = timed(lambda: jobs.train(mods, models))
+    seconds["score_job"] = timed(lambda: run(jobs.score(mods, models)))
+    seconds["lookup_dealt"] = timed(lambda: run(join_lookup(mods, mods.groupBy("hash").agg(F.max("tokens").alias("most")), ["hash"], max_rows=10_000)))
     seconds = {name: round(value, 3) for name, value in seconds.items()}
     print(
         json.dumps(

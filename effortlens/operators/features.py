@@ -29,9 +29,10 @@ def add_features(mods: DataFrame) -> DataFrame:
     )
     return mods.withColumns(
         {
-            "total_changed": F.col("number_lines_added") + F.col("number_lines_removed"),
+            # In 64 bits, so that no sum of two counts overflows.
+            "total_changed": F.col("number_lines_added").cast("long") + F.col("number_lines_removed"),
             "n_functions_add_del": F.abs(
-                F.col("number_functions_before") - F.col("number_functions_after")
+                F.col("number_functions_before").cast("long") - F.col("number_functions_after")
             ),
         }
     ).withColumns(

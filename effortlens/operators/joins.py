@@ -19,27 +19,31 @@ def join_lookup(
 ) -> DataFrame:
     """Left join `big` with a `lookup` that has one row per key.
 
-    The lookup is computed once. One of at most `max_rows` rows (counted, never
-    assumed) is broadcast, so `big` is not shuffled. A larger one is split:
-    fewer than `max_rows` keys can each hold more than a `max_rows`-th of the
-    rows of `big`. Their rows meet a broadcast of just those keys; every other
-    key is small enough for a shuffled join.
+    The columns are those of `big`, then the others of `lookup`, at every size.
+    The lookup is computed once. One that is small in rows and bytes (measured,
+    never assumed) is broadcast, so `big` is not shuffled. A larger one is
+    joined by a shuffle: fewer than `max_rows` keys can each hold more than a
+    `max_rows`-th of the rows of `big`. Rows of just those keys are dealt to
+    as many parts as they fill, each of which gets its copy of the key's lookup
+    row, so no task gets a hot key whole.
     """
     table, small = settle(lookup, "lookup", max_rows)
+    values = [c for c in table.columns if c not in keys]
     if small:
-        return big.join(F.broadcast(table), keys, "left")
+        return big.join(F.broadcast(table), keys, "left").select(*big.columns, *values)
 
     counts = materialise(big.groupBy(*keys).agg(F.count("*").alias("n_rows")), "key-counts")
     total = counts.agg(F.sum("n_rows")).first()[0] or 0
-    heavy_keys = counts.where(F.col("n_rows") * max_rows > total).select(keys)
-    heavy = materialise(heavy_keys.join(table, keys, "left"), "heavy-keys")
-    values = [c for c in table.columns if c not in keys]
-
-    near = F.broadcast(heavy)
-    hot = big.join(near, _same(big, near, keys), "inner").select(
-        *(big[c] for c in big.columns), *(near[c] for c in values)
+    most = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.least(F.ceil(F.col("n_rows") * max_rows / F.lit(max(total, 1))), F.lit(most)).cast("int")
+    # Fewer than max_rows keys, whatever the tables.
+    heavy = F.broadcast(counts.where(F.col("n_rows") * max_rows > total).select(*keys, parts.alias("_parts")))
+    # Any part may hold any row, as each has the lookup row; so the task's number will do.
+    dealt = big.join(heavy, _same(big, heavy, keys), "left").select(
+        *(big[c] for c in big.columns), F.coalesce(F.spark_partition_id() % heavy["_parts"], F.lit(0)).alias("_part")
+    )
+    copied = table.join(heavy, _same(table, heavy, keys), "left").select(
+        *(table[c] for c in table.columns),
+        F.explode(F.sequence(F.lit(0), F.coalesce(heavy["_parts"], F.lit(1)) - 1)).alias("_part"),
     )
-    only_keys = F.broadcast(heavy.select(keys))
-    rest = big.join(only_keys, _same(big, only_keys, keys), "left_anti")
-    cold = rest.join(table, keys, "left").select(*big.columns, *values)
-    return hot.unionByName(cold)
+    return dealt.join(copied, [*keys, "_part"], "left").select(*big.columns, *values)

@@ -25,14 +25,14 @@ def unseen(store: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of `new` whose mod is not in `store`.
 
     A commit keeps its date for ever, so only the months of the new rows are
-    compared: the store's other partitions are not read.
+    compared: the store's other partitions are not read. Rows without a date are
+    compared with stored rows without one.
     """
     if "committed_month" in store.columns:
-        month = F.substring(F.col("committed_date"), 1, 7)
-        low, high = new.agg(F.min(month), F.max(month)).first()
-        if low is None:
-            return new
-        store = store.where(F.col("committed_month").between(low, high))
+        month, stored = F.substring(F.col("committed_date"), 1, 7), F.col("committed_month")
+        low, high, undated = new.agg(F.min(month), F.max(month), F.count_if(month.isNull())).first()
+        within = stored.between(low, high) if low is not None else F.lit(False)
+        store = store.where(within | stored.isNull() if undated else within)
     known = store.select(*MOD_KEY).distinct()
     same = reduce(lambda a, b: a & b, (new[k].eqNullSafe(known[k]) for k in MOD_KEY))
     return new.join(known, same, "left_anti")

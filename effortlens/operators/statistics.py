@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effortlens.functions.numbers import ratio_or_zero
+from effortlens.operators.features import feature_frame
 from effortlens.operators.joins import join_lookup
 from effortlens.schema import FEATURES
 from effortlens.session import materialise
@@ -103,13 +104,18 @@ def standardise(frame: DataFrame, features: Sequence[str], by: Sequence[str] = (
     return joined.withColumns(scores).select(frame.columns)
 
 
-def extension_summary(frame: DataFrame, z: float = OUTLIER_Z) -> DataFrame:
-    """Per extension: rows, inliers, outliers, and whether its first row is of a supported language.
+def first_supported(frame: DataFrame) -> Column:
+    """Whether the first row of a group is of a supported language.
 
-    "First" is the least (hash, file name), so the answer does not depend on
-    how the rows are spread over files.
+    "First" is the least (hash, file name, flag), so the answer does not depend
+    on how the rows are spread over files.
     """
-    order = F.struct(*[c for c in ("hash", "file_name") if c in frame.columns])
+    names = ("hash", "file_name", "file_name_encrypted", "language_supported")
+    return F.min_by("language_supported", F.struct(*[c for c in names if c in frame.columns]))
+
+
+def extension_summary(frame: DataFrame, z: float = OUTLIER_Z) -> DataFrame:
+    """Per extension: rows, inliers, outliers, and whether its first row is of a supported language."""
     return (
         flag_inliers(frame, z)
         .groupBy("file_ext")
@@ -117,7 +123,7 @@ def extension_summary(frame: DataFrame, z: float = OUTLIER_Z) -> DataFrame:
             F.count("*").alias("n_rows"),
             F.count_if("is_inlier").alias("n_inliers"),
             F.count_if(~F.col("is_inlier")).alias("n_outliers"),
-            F.min_by("language_supported", order).alias("supported"),
+            first_supported(frame).alias("supported"),
         )
     )
 
@@ -140,18 +146,19 @@ def at_least(frame: DataFrame, min_rows: int) -> DataFrame:
 def training_set(featured: DataFrame, min_rows: int = MIN_TRAINING_ROWS, z: float = OUTLIER_Z) -> DataFrame:
     """Scaled inliers of all trainable extensions, written per extension.
 
+    Missing feature values count as 0, as everywhere, before any statistic.
     The mods are read twice: once for the moments, once to flag the rows. The
     second pass writes the inliers per extension; the ranges then come from
     that smaller table. The scaled rows are written once more, since model fits
     read them many times, each only the files of its own extension.
     """
-    keep = ["file_ext", "hash", "Author", "language_supported", *FEATURES]
-    frame = featured.select([c for c in keep if c in featured.columns])
+    keys = ["file_ext", "hash", "Author", "language_supported", "file_name", "file_name_encrypted"]
+    frame = feature_frame(featured, *[c for c in keys if c in featured.columns])
     stats = (
         frame.groupBy("file_ext")
         .agg(
             F.count("*").alias("n_rows"),
-            F.min_by("language_supported", F.struct("hash")).alias("supported"),
+            first_supported(frame).alias("supported"),
             *[e for f in FEATURES for e in (F.avg(f).alias(f"{f}_avg"), F.stddev_pop(f).alias(f"{f}_sd"))],
         )
         .where((F.col("n_rows") >= min_rows) & F.col("supported"))

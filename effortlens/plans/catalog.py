@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -462,7 +463,7 @@ FROM ti JOIN tr ON file_ext = x"""
 @register(_TRAINING_SQL)
 def training_set(spark, sf_dir):
     """Scaled inliers of all trainable extensions, laid out per extension."""
-    found = st.training_set(ft.scoring_frame(fx.features(spark, sf_dir)))
+    found = jobs.training_rows(fx.mods_with_ext(spark, sf_dir))
     return found.select("file_ext", "hash", *rounded(*ck.SCALED))
 
 
@@ -579,16 +580,16 @@ def score_mods(spark, sf_dir):
     return _scored(spark, sf_dir).select("hash", "file_name", "file_ext", "predicted_cluster", *rounded(*_SCORES))
 
 
-_LARGE = 6000
-
-
 @register(
-    f"WITH {ck.SCORED} SELECT hash, file_name, file_ext, {sql_rounded('mod_score')} FROM sd "
-    f"WHERE file_ext IN (SELECT file_ext FROM sd GROUP BY file_ext HAVING count(*) >= {_LARGE})"
+    f"WITH {ck.SCORED}, ne AS (SELECT file_ext AS ext, count(*) AS n FROM sd GROUP BY file_ext) "
+    f"SELECT hash, file_name, file_ext, {sql_rounded('mod_score')} FROM sd JOIN ne ON file_ext = ext "
+    "WHERE n >= (SELECT avg(n) FROM ne)"
 )
 def score_min_rows(spark, sf_dir):
-    """Extensions with few rows left out of the scores."""
-    return _scored(spark, sf_dir, min_rows=_LARGE).select("hash", "file_name", "file_ext", *rounded("mod_score"))
+    """Extensions with fewer rows than the mean extension left out of the scores."""
+    sizes = fx.mods_with_ext(spark, sf_dir).groupBy("file_ext").count()
+    mean = math.ceil(sizes.agg(F.avg("count")).first()[0] or 0)
+    return _scored(spark, sf_dir, min_rows=mean).select("hash", "file_name", "file_ext", *rounded("mod_score"))
 
 
 @register(f"WITH {ck.SCORED} SELECT file_ext, predicted_cluster, count(*) AS n_rows FROM sd WHERE predicted_cluster <> 'No Model found' GROUP BY 1, 2")
@@ -685,6 +686,7 @@ def drop_self_blame(spark, sf_dir):
 _PAIRS_SQL = f"""{ck.HISTORY}, {ck.FIXES},
 pr AS (SELECT DISTINCT f.hash AS orig_hash, lh.blame_hash, concat('/repo/', file_new_path) AS file
        FROM fixes f JOIN (SELECT DISTINCT * FROM lh) lh ON f.hash = lh.orig_hash AND f.file_new_path = lh.path
+            JOIN (SELECT unnest(range(1, 5)) AS n) ln ON n <= f.number_lines_added % 4 + 1 AND concat('line ', n % 3) IN ('line 0', 'line 2')
        WHERE f.hash <> lh.blame_hash)"""
 
 
@@ -822,7 +824,7 @@ def scores_per_extension(spark, sf_dir):
     """All extensions written in one go, a folder each, and read back."""
     path = fresh_path(spark, "scores")
     stores.save_scores(_scored(spark, sf_dir), path)
-    found = spark.read.parquet(path).groupBy(F.col("file_ext").cast("string").alias("file_ext"))
+    found = stores.load_scores(spark, path).groupBy("file_ext")
     return found.agg(F.count("*").alias("n_rows"), F.round(F.sum("mod_score"), 2).alias("score"))
 
 
@@ -923,36 +925,62 @@ def silhouette_sweep(spark, sf_dir):
 @register()
 def fit_mixtures(spark, sf_dir):
     """Mixtures of all trainable extensions: weights and means."""
-    mixture = mx.fit_mixtures(st.training_set(ft.scoring_frame(fx.features(spark, sf_dir))))
+    mixture = mx.fit_mixtures(jobs.training_rows(fx.mods_with_ext(spark, sf_dir)))
     return mixture.select(
         "file_ext", "cluster", "weight", *[F.col("mean")[i].alias(m) for i, m in enumerate(_MEANS)]
     )
 
 
+_MOMENTS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+
+
+@register(
+    f"WITH tt AS ({_TRAINING_SQL.replace(', 4) AS', ', 12) AS')}) SELECT file_ext, 1.0::DOUBLE AS weights, "
+    + ", ".join(f"round(avg({s}), 5) AS m{i}" for i, s in enumerate(ck.SCALED))
+    + ", "
+    + ", ".join(f"round(avg({ck.SCALED[i]} * {ck.SCALED[j]}), 5) AS m{i}{j}" for i, j in _MOMENTS)
+    + " FROM tt GROUP BY file_ext"
+)
+def mixture_moments(spark, sf_dir):
+    """First and second moments of the fitted mixtures: whatever the clusters are, those of the training rows."""
+    size = len(FEATURES)
+    fitted = mx.fit_mixtures(jobs.training_rows(fx.mods_with_ext(spark, sf_dir)))
+    w, mean = F.col("weight"), lambda i: F.col("mean")[i]
+    second = lambda i, j: F.col("covariance")[i * size + j] - (mx.COVARIANCE_FLOOR if i == j else 0.0) + mean(i) * mean(j)
+    return fitted.groupBy("file_ext").agg(
+        F.round(F.sum(w), 5).alias("weights"),
+        *[F.round(F.sum(w * mean(i)), 5).alias(f"m{i}") for i in range(size)],
+        *[F.round(F.sum(w * second(i, j)), 5).alias(f"m{i}{j}") for i, j in _MOMENTS],
+    )
+
+
 @register()
 def mixture_covariances(spark, sf_dir):
     """Covariances of the fitted mixtures, cell by cell."""
-    return mx.model_covariances(mx.fit_mixtures(st.training_set(ft.scoring_frame(fx.features(spark, sf_dir)))))
+    return mx.model_covariances(mx.fit_mixtures(jobs.training_rows(fx.mods_with_ext(spark, sf_dir))))
 
 
-# Smaller than the defaults of the library, so that a check takes seconds.
-_QUICK = {"rounds": 3, "depth": 3, "max_iterations": 10}
-_FOREST = {"kind": "forest", "rounds": 5, "depth": 4, "max_iterations": 10}
+# Every trained extension with its number of training rows; what is learnt has no SQL, but how well has a bound.
+_MODELS_SQL = f"WITH tt AS ({_TRAINING_SQL}) SELECT file_ext, 'KIND' AS kind, count(*) AS n_rows, true AS learnt FROM tt GROUP BY file_ext"
 
 
-@register()
+def _learnt() -> Column:
+    return F.col("accuracy").between(0.75, 1.0).alias("learnt")
+
+
+@register(_MODELS_SQL.replace("KIND", "boosted"))
 def classifier_accuracy(spark, sf_dir):
-    """Accuracy of boosted trees on unseen rows, per extension."""
-    _, _, fitted = jobs.fit_all(fx.mods_with_ext(spark, sf_dir), **_QUICK)
-    return cl.accuracy_table(spark, fitted)
+    """Accuracy of boosted trees on unseen rows, per extension: 100 rounds of depth 6, as `train` has them."""
+    _, _, fitted = jobs.fit_all(fx.mods_with_ext(spark, sf_dir))
+    return cl.accuracy_table(fitted).select("file_ext", F.lit("boosted").alias("kind"), "n_rows", _learnt())
 
 
-@register()
+@register(_MODELS_SQL.replace("KIND", "forest"))
 def model_registry(spark, sf_dir):
     """Random forests trained, saved and listed."""
     root = fresh_path(spark, "models")
-    jobs.train(fx.mods_with_ext(spark, sf_dir), root, **_FOREST)
-    return model_files.registry(spark, root)
+    jobs.train(fx.mods_with_ext(spark, sf_dir), root, kind="forest")
+    return model_files.registry(spark, root).select("file_ext", "kind", "n_rows", _learnt())
 
 
 @register()
@@ -960,7 +988,7 @@ def score_file(spark, sf_dir):
     """Train, anonymise to CSV, score the file, put e-mails back."""
     root, source, target = (fresh_path(spark, n) for n in ("models", "hidden-csv", "scored-csv"))
     mods = materialise(fx.mods_with_ext(spark, sf_dir), "mods")
-    jobs.train(mods, root, **_FOREST)
+    jobs.train(mods, root)
     hidden, emails = pv.anonymise(mods)
     csv_files.write_csv(hidden, source)
     jobs.score_file(spark, source, target, root)
@@ -973,14 +1001,12 @@ def score_file(spark, sf_dir):
 
 # --- streams ------------------------------------------------------------------------
 
-_STREAM_COLUMNS = ("Email", "committed_date", "file_ext", "language_supported", "mod_score")
-
-
 @register(_CUBE_SQL)
 def stream_rollup_sums(spark, sf_dir):
-    """The score cube from a stream of CSV files."""
+    """The score cube from a stream of CSV files as `restore` writes them, with all columns."""
     folder, target, checkpoint = (fresh_path(spark, n) for n in ("scored-csv", "rollup", "rollup-state"))
-    csv_files.write_csv(_charted(spark, sf_dir).select(*_STREAM_COLUMNS), folder)
+    hidden, emails = pv.anonymise(_charted(spark, sf_dir))
+    csv_files.write_csv(pv.de_anonymise(hidden, materialise(emails, "emails")), folder)
     stream = stream_rollup.read_scored_stream(spark, folder, maxFilesPerTrigger=100)
     stream_rollup.start_rollup(stream, target, checkpoint).awaitTermination()
     found = stream_rollup.read_rollup(spark, target)

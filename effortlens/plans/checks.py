@@ -23,9 +23,9 @@ SELECT concat('c', cast(l_orderkey AS VARCHAR)) AS hash,
        o_orderstatus = 'P' AS merge_commit,
        cast(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS number_of_mod_files,
        concat(replace(p_name, ' ', '_'), '_', cast(p_partkey AS VARCHAR), sfx) AS file_name,
-       CASE l_returnflag WHEN 'A' THEN 'ADD' WHEN 'R' THEN 'DELETE' ELSE 'MODIFY' END AS file_change_type_name,
+       CASE WHEN l_returnflag = 'A' THEN 'ADD' WHEN l_returnflag = 'R' THEN 'DELETE' WHEN l_linenumber = 3 THEN 'RENAME' ELSE 'MODIFY' END AS file_change_type_name,
        CASE WHEN l_returnflag <> 'A' THEN concat('src/', p_brand, '/', replace(p_name, ' ', '_'), '_', cast(p_partkey AS VARCHAR), sfx) END AS file_old_path,
-       CASE WHEN l_returnflag <> 'R' THEN concat('src/', p_brand, '/', replace(p_name, ' ', '_'), '_', cast(p_partkey AS VARCHAR), sfx) END AS file_new_path,
+       CASE WHEN l_returnflag <> 'R' THEN concat('src/', CASE WHEN l_returnflag = 'N' AND l_linenumber = 3 THEN 'moved' ELSE p_brand END, '/', replace(p_name, ' ', '_'), '_', cast(p_partkey AS VARCHAR), sfx) END AS file_new_path,
        cast(l_linenumber % 5 AS INT) AS number_functions_before,
        cast(p_size % 6 AS INT) AS number_functions_after,
        cast(cast(l_quantity AS INT) % 4 AS INT) AS number_functions_edited,
@@ -128,9 +128,12 @@ bl AS (SELECT DISTINCT orig_hash, blame_hash, concat('/repo/', path) AS file FRO
 
 FIXES = """
 alive AS (SELECT path FROM (
-    SELECT coalesce(file_new_path, file_old_path) AS path,
-           max(concat(committed_date, '|', rpad(hash, 20, ' '), '|', file_change_type_name)) AS last
-    FROM mods GROUP BY 1) z WHERE last NOT LIKE '%|DELETE'),
+    SELECT path, max(concat(committed_date, '|', rpad(hash, 20, ' '), '|', lives)) AS last FROM (
+        SELECT file_new_path AS path, committed_date, hash, '1' AS lives FROM mods WHERE file_new_path IS NOT NULL
+        UNION ALL
+        SELECT file_old_path, committed_date, hash, '0' FROM mods
+        WHERE file_old_path IS NOT NULL AND file_old_path IS DISTINCT FROM file_new_path) e GROUP BY 1) z
+    WHERE last LIKE '%|1'),
 fixes AS (SELECT * FROM mods
           WHERE regexp_matches(message, '\\b(bug|Bug|Fix|fix)\\b') AND number_of_mod_files < 15
             AND number_lines_added < 1000 AND file_new_path IN (SELECT path FROM alive))"""

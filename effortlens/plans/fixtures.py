@@ -68,6 +68,7 @@ def mods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = F.concat(F.lit("src/"), "p_brand", F.lit("/"), "file_name")
     flag, line, size = F.col("l_returnflag"), F.col("l_linenumber"), F.col("p_size")
+    renamed = (flag == "N") & (line == 3)
     tax, discount = F.col("l_tax"), F.col("l_discount")
     day = F.col("o_orderdate")
     known = line != 7
@@ -86,11 +87,13 @@ def mods(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderstatus") == "P").alias("merge_commit"),
         _int(F.col("n_files")).alias("number_of_mod_files"),
         "file_name",
-        F.when(flag == "A", "ADD").when(flag == "R", "DELETE").otherwise("MODIFY").alias(
-            "file_change_type_name"
-        ),
+        F.when(flag == "A", "ADD")
+        .when(flag == "R", "DELETE")
+        .when(renamed, "RENAME")
+        .otherwise("MODIFY")
+        .alias("file_change_type_name"),
         F.when(flag != "A", path).alias("file_old_path"),
-        F.when(flag != "R", path).alias("file_new_path"),
+        F.when(renamed, F.concat(F.lit("src/moved/"), "file_name")).when(flag != "R", path).alias("file_new_path"),
         _int(line % 5).alias("number_functions_before"),
         _int(size % 6).alias("number_functions_after"),
         _int(_int(F.col("l_quantity")) % 4).alias("number_functions_edited"),
@@ -170,7 +173,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which commit last wrote each added line.
+    """Which commit last wrote each added line; two of the three texts that `mods_with_diff` has are known.
 
     Stand-in for version-control line history: the first commit that touched
     the file in the same year. Found by a partial-aggregating minimum.
@@ -184,7 +187,12 @@ def line_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.withColumn("year", year)
         .join(first, ["file_name", "year"])
         .where(F.col("file_new_path").isNotNull())
-        .select(F.col("hash").alias("orig_hash"), F.col("file_new_path").alias("path"), "blame_hash")
+        .select(
+            F.col("hash").alias("orig_hash"),
+            F.col("file_new_path").alias("path"),
+            F.explode(F.array(F.lit("line 0"), F.lit("line 2"))).alias("text"),
+            "blame_hash",
+        )
     )
 
 

@@ -1,4 +1,4 @@
-"""The batch jobs: train models, score a table, score a file."""
+"""The batch jobs: keep a store, label, train models, score a table, score a file."""
 
 from __future__ import annotations
 
@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effortlens.functions.text import base_name
-from effortlens.operators.classifier import BOOST_DEPTH, BOOST_ROUNDS, Fitted, fit_classifiers, predict_clusters
-from effortlens.operators.commits import dates_in_gmt
+from effortlens.operators.blame import label_bugs
+from effortlens.operators.classifier import (
+    BOOST_DEPTH,
+    BOOST_ROUNDS,
+    MAX_ROWS,
+    fit_classifiers,
+    predict_clusters,
+    settled_models,
+)
+from effortlens.operators.commits import dates_in_gmt, newest_first
 from effortlens.operators.features import add_features, scoring_frame
 from effortlens.operators.mixture import (
     CLUSTERS,
@@ -22,6 +30,38 @@ from effortlens.schema import FEATURES
 from effortlens.session import materialise
 from effortlens.sources.csv import read_mods_csv, read_mods_many, write_csv
 from effortlens.sources.models import load_classifiers, load_mixture, load_training_ranges, save_models
+from effortlens.sources.store import ModStore
+
+FORMATS = ("csv", "parquet")
+
+
+def read_mods(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
+    return spark.read.parquet(path) if form == "parquet" else read_mods_csv(spark, path)
+
+
+def write_mods(mods: DataFrame, path: str, form: str = "csv") -> None:
+    if form == "parquet":
+        mods.write.parquet(path)
+    else:
+        write_csv(mods, path)
+
+
+def refresh(store: ModStore, mods: DataFrame, blame: DataFrame | None = None) -> None:
+    """Add the mods that the store does not hold yet; create it if there is none."""
+    if store.exists():
+        store.refresh(mods, blame)
+    else:
+        store.create(mods.dropDuplicates(), blame)
+
+
+def label(store: ModStore) -> DataFrame:
+    """All mods of a store, each once, labelled by its blame rows, the newest commits first."""
+    return newest_first(label_bugs(store.mods(), store.blame()))
+
+
+def training_rows(mods: DataFrame) -> DataFrame:
+    """The scaled inliers that models are trained on."""
+    return training_set(add_features(mods))
 
 
 def fit_all(
@@ -31,15 +71,17 @@ def fit_all(
     rounds: int = BOOST_ROUNDS,
     depth: int = BOOST_DEPTH,
     max_iterations: int = MAX_ITERATIONS,
-) -> tuple[DataFrame, DataFrame, dict[str, Fitted]]:
+    max_rows: int = MAX_ROWS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mixture parameters, training ranges and classifiers for every trainable extension."""
-    training = training_set(add_features(mods))
+    training = training_rows(mods)
     low_high = materialise(ranges(training), "ranges")
     mixture = materialise(fit_mixtures(training, k, max_iterations=max_iterations), "mixture")
     raw = training.select("file_ext", "hash", *FEATURES)
     clustered = drop_unclustered(assign_clusters(raw, mixture, low_high, k)).drop("posteriors")
-    labelled = materialise(clustered, "clustered", by="file_ext")
-    return mixture, low_high, fit_classifiers(labelled, kind, rounds=rounds, depth=depth)
+    labelled = materialise(clustered, "clustered")
+    fitted = fit_classifiers(labelled, kind, rounds=rounds, depth=depth, max_rows=max_rows)
+    return mixture, low_high, settled_models(fitted)
 
 
 def train(mods: DataFrame, root: str, **options) -> None:
@@ -60,11 +102,16 @@ def score(mods: DataFrame, root: str, scaler: str = "target", min_rows: int = 0)
 
 
 def rewrite_in_gmt(spark: SparkSession, paths: list[str], target: str) -> None:
-    """Write every mod file again with both dates in GMT, a folder per file of origin."""
+    """Write every mod file again with both dates in GMT, a folder per file of origin.
+
+    The folder is named by the file and a digest of its full path, so files of
+    one name in two folders stay apart.
+    """
     mods = dates_in_gmt(read_mods_many(spark, paths))
-    write_csv(mods.withColumn("origin", base_name(F.col("origin"))), target, by="origin")
+    origin = F.concat_ws("-", base_name(F.col("origin")), F.substring(F.sha2("origin", 256), 1, 8))
+    write_csv(mods.withColumn("origin", origin), target, by="origin")
 
 
-def score_file(spark: SparkSession, source: str, target: str, root: str, **options) -> None:
-    """Anonymised CSV in, scored CSV out, all extensions in one result."""
-    write_csv(score(read_mods_csv(spark, source), root, **options), target)
+def score_file(spark: SparkSession, source: str, target: str, root: str, form: str = "csv", **options) -> None:
+    """Anonymised mods in, scored mods out, all extensions in one result."""
+    write_mods(score(read_mods(spark, source, form), root, **options), target, form)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -67,18 +68,25 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
-# A settled row is a key of at most a few hundred bytes and some numbers, so this
-# many stay in the tens of megabytes, on the driver and in a broadcast.
+# What a broadcast or the driver may hold of one settled table.
 SMALL_ROWS = 50_000
+SMALL_BYTES = 32 << 20
 
 
-def settle(df: DataFrame, name: str, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+def settle(df: DataFrame, name: str, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> tuple[DataFrame, bool]:
     """Compute a table that is expected to be small, once, and tell whether it is.
 
-    Up to `max_rows` rows (fetched with a limit, never assumed) it becomes a
-    local table; beyond, it is written to the shared folder.
+    Rows and bytes are measured under a limit, never assumed. A small table
+    becomes a local one; a larger one is written to the shared folder.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return df.sparkSession.createDataFrame(rows, df.schema), True
-    return materialise(df, name), False
+    own = not (df.storageLevel.useMemory or df.storageLevel.useDisk)
+    held = df.persist() if own else df
+    try:
+        size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        n_rows, n_bytes = held.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+        if n_rows <= max_rows and n_bytes <= max_bytes:
+            return df.sparkSession.createDataFrame(held.collect(), df.schema), True
+        return materialise(held, name), False
+    finally:
+        if own:
+            held.unpersist()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from effortlens.operators.refresh import unseen, with_commit_time
-from effortlens.schema import EMAIL_MAP
+from effortlens.schema import BLAME, EMAIL_MAP
 
 
 class ModStore:
@@ -44,12 +45,29 @@ class ModStore:
         return self.spark.read.schema(declared).parquet(self.path)
 
     def blame(self) -> DataFrame:
-        """Blame rows, each once."""
-        return self.spark.read.parquet(self.blame_path).distinct()
-
-    def refresh(self, new: DataFrame) -> None:
+        """Blame rows, each once; none if none were ever stored."""
+        try:
+            return self.spark.read.parquet(self.blame_path).distinct()
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return self.spark.createDataFrame([], BLAME)
+
+    def exists(self) -> bool:
+        """Whether mods were ever stored here."""
+        try:
+            self.spark.read.parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return False
+        return True
+
+    def refresh(self, new: DataFrame, blame: DataFrame | None = None) -> None:
         """Append the mods that are not stored yet, each once; if there are none, no file is written."""
         self._write(unseen(self.mods(), new).dropDuplicates(), "append")
+        if blame is not None:
+            blame.write.mode("append").parquet(self.blame_path)
 
 
 def save_email_map(emails: DataFrame, path: str) -> None:
@@ -60,6 +78,13 @@ def load_email_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EMAIL_MAP).parquet(path)
 
 
+def load_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Saved scores; extensions stay text, also those that look like numbers."""
+    schema = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "file_ext" else f for f in schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def save_scores(scored: DataFrame, path: str, append: bool = False) -> None:
     """All extensions in one write, a folder per extension. `append` adds a second run's rows again."""
     spread = scored.hint("rebalance", "file_ext")

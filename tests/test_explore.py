@@ -37,13 +37,6 @@ def test_squared_silhouette(points):
     assert np.array([r.silhouette for r in rows]) == pytest.approx(brute_force(x, labels, True), abs=1e-9)
 
 
-@pytest.mark.parametrize("block_rows", [1000, 16])
-def test_plain_silhouette(points, block_rows):
-    frame, x, labels = points
-    rows = ex.silhouette_euclidean(frame, NAMES, "id", block_rows=block_rows).orderBy("id").collect()
-    assert np.array([r.silhouette for r in rows]) == pytest.approx(brute_force(x, labels, False), abs=1e-9)
-
-
 def test_mean_silhouette(points):
     frame, x, labels = points
     assert ex.silhouette_mean(frame, NAMES) == pytest.approx(brute_force(x, labels, True).mean())

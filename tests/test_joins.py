@@ -1,8 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from effortlens.operators import privacy
 from effortlens.operators.joins import join_lookup
 from effortlens.operators.ordering import running_positions
+from effortlens.plans import fixtures
+from effortlens.session import settle
 
 
 @pytest.mark.parametrize("max_rows", [1000, 5, 2, 1])
@@ -17,6 +20,37 @@ def test_lookup_equals_a_plain_left_join(spark, max_rows):
     assert sorted(map(str, found.collect())) == wanted
 
 
+@pytest.mark.parametrize("max_rows", [1000, 2])
+def test_columns_have_one_order_at_every_size(spark, max_rows):
+    big = spark.createDataFrame([("x", i, f"k{i % 3}") for i in range(9)], "a string, i int, k string")
+    lookup = spark.createDataFrame([(float(i), f"k{i}") for i in range(3)], "v double, k string")
+    found = join_lookup(big, lookup, ["k"], max_rows)
+    assert found.columns == ["a", "i", "k", "v"]
+    assert all(r.v == r.i % 3 for r in found.collect())
+
+
+def test_e_mails_come_back_in_one_order_at_every_size(spark, sf_dir, monkeypatch):
+    hidden, emails = privacy.anonymise(fixtures.mods(spark, sf_dir))
+    near = privacy.de_anonymise(hidden, emails)
+    monkeypatch.setattr(privacy, "join_lookup", lambda b, l, k: join_lookup(b, l, k, max_rows=10))
+    far = privacy.de_anonymise(hidden, emails)
+    assert near.columns == far.columns == [*hidden.columns, "Email"]
+    assert sorted(map(str, near.collect())) == sorted(map(str, far.collect()))
+
+
+def test_a_wide_lookup_is_not_broadcast(spark):
+    wide = spark.range(40).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1_000_000).alias("v"))
+    table, small = settle(wide, "wide")
+    assert not small and table.count() == 40
+
+
+def test_a_hot_key_is_dealt_to_several_tasks(spark):
+    big = spark.range(0, 30_000, numPartitions=8).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    lookup = big.select("k").distinct().withColumn("v", F.length("k"))
+    joined = join_lookup(big, lookup, ["k"], max_rows=20)
+    assert joined.where("v = length(k)").count() == 30_000
+
+
 def test_two_keys(spark):
     big = spark.range(100).select((F.col("id") % 3).alias("a"), (F.col("id") % 5).alias("b"), "id")
     lookup = big.select("a", "b").distinct().withColumn("v", F.col("a") * 10 + F.col("b"))

@@ -140,12 +140,62 @@ def test_the_split_is_stable_and_takes_a_quarter(spark):
     assert first == again and 0.22 < len(first) / 4000 < 0.28
 
 
+def labelled_rows(spark, n=900):
+    """Two extensions; the label is the quadrant of two features, which no single split tells."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (2 * n, 6))
+    label = (x[:, 0] > 0) * 2 + (x[:, 3] > 0)
+    rows = [("py" if i < n else "c", f"h{i}", int(label[i]) + 1, *map(float, x[i])) for i in range(2 * n)]
+    return spark.createDataFrame(rows, "file_ext string, hash string, cluster int, " + ", ".join(f"{f} double" for f in FEATURES))
+
+
+@pytest.mark.parametrize("kind", ["boosted", "forest"])
+def test_classifiers_learn_products_of_features(spark, kind):
+    frame = labelled_rows(spark)
+    fitted = cl.settled_models(cl.fit_classifiers(frame, kind, rounds=20, depth=4))
+    rows = {r.file_ext: r for r in fitted.collect()}
+    assert {e: r.n_rows for e, r in rows.items()} == {"py": 900, "c": 900}
+    assert all(r.accuracy > 0.9 and r.classes == [1, 2, 3, 4] for r in rows.values())
+    other = frame.limit(1).withColumn("file_ext", F.lit("md")).unionByName(frame.limit(1).withColumn("file_ext", F.lit(None)))
+    predicted = cl.predict_clusters(frame.unionByName(other), fitted)
+    assert predicted.where("file_ext in ('py', 'c')").where("cluster_id = cluster").count() > 1700
+    assert predicted.where("cluster_id is null").count() == 2
+    assert cl.predict_clusters(frame, fitted.limit(0)).where("cluster_id is not null").count() == 0
+
+
+def test_a_fit_does_not_depend_on_the_order_and_is_bounded(spark):
+    frame = labelled_rows(spark)
+    fit = lambda df, **o: sorted(map(str, cl.fit_classifiers(df, rounds=3, depth=3, **o).collect()))
+    assert fit(frame) == fit(frame.orderBy(F.rand(3)).repartition(5))
+    small = cl.fit_classifiers(frame, rounds=3, depth=3, max_rows=200).collect()
+    assert [r.n_rows for r in small] == [900, 900] and all(r.accuracy > 0.5 for r in small)
+
+
+def test_a_tree_takes_the_best_split():
+    """Against every split of one feature, by hand."""
+    rng = np.random.default_rng(0)
+    binned = rng.integers(0, 12, (300, 2)).astype(np.int16)
+    g, h = rng.normal(0, 1, (300, 1)) + (binned[:, :1] > 4), np.ones((300, 1))
+    features, bins, leaves = cl._grow(binned, g, h, 1)
+
+    def gain(f, b):
+        right = binned[:, f] > b
+        if not 0 < right.sum() < 300:
+            return -math.inf
+        return sum(g[s].sum() ** 2 / (s.sum() + cl.SHRINKAGE) for s in (right, ~right))
+
+    best = max(((f, b) for f in range(2) for b in range(12)), key=lambda s: gain(*s))
+    assert (features[0], bins[0]) == best
+    right = binned[:, best[0]] > best[1]
+    assert leaves[0] == pytest.approx([g[s].sum() / (s.sum() + cl.SHRINKAGE) for s in (~right, right)])
+
+
 @pytest.mark.parametrize("kind", ["boosted", "forest"])
 def test_train_save_and_score(spark, sf_dir, kind):
     root = fresh_path(spark, "models")
     some = fixtures.mods_with_ext(spark, sf_dir).where("file_ext in ('py', 'c++', 'md')")
     mods = materialise(some, "mods")
-    jobs.train(mods, root, kind=kind, rounds=3, depth=3, max_iterations=5)
+    jobs.train(mods, root, kind=kind, max_iterations=5)
     listed = {r.file_ext: r for r in files.registry(spark, root).collect()}
     assert set(listed) == {"py", "c++"}
     assert all(r.kind == kind and r.n_rows > 500 and 0.5 < r.accuracy <= 1 for r in listed.values())
