@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
-from typing import TypeVar
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ from pyspark.sql import functions as F
 from effortlens.functions.numbers import argmax
 from effortlens.operators.statistics import ranges, scaled_name, unscaled
 from effortlens.schema import FEATURES, MIXTURE
-from effortlens.session import settle
+from effortlens.session import materialise, settle
 
 # Fixed values.
 CLUSTERS = 5
@@ -28,26 +26,15 @@ MAX_ITERATIONS = 100
 TOLERANCE = 1e-3
 COVARIANCE_FLOOR = 1e-6
 
-# Models fitted side by side; the scheduler shares the executors among them.
-FITS_AT_ONCE = 4
+# Extensions whose sums, some hundred numbers each, are collected at once.
+AT_ONCE = 1000
+
+# Rows of an extension that its starting centres are found on, at about.
+START_ROWS = 20_000
 
 # Models whose parameters travel with one function, about a kilobyte each.
 MODELS_AT_ONCE = 10_000
 
-Model = TypeVar("Model")
-
-
-def per_extension(extensions: list[str], fit: Callable[[str], Model]) -> dict[str, Model]:
-    """Run one distributed fit per extension, a few of them side by side."""
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        return dict(zip(extensions, pool.map(fit, extensions)))
-
-
-def model_extensions(frame: DataFrame) -> list[str]:
-    """Extensions of a frame that passed the training gates: a short list of language suffixes."""
-    return sorted(row.file_ext for row in frame.select("file_ext").distinct().toLocalIterator())
-
-
 def vector_of(frame: DataFrame, columns: list[str], name: str = "vector") -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol=name).transform(frame)
 
@@ -131,6 +118,11 @@ def _components(sums: np.ndarray, k: int, floor: float) -> list[Component]:
     return found
 
 
+def _slices(by_extension: dict) -> list[dict]:
+    items = sorted(by_extension.items())
+    return [dict(items[i : i + AT_ONCE]) for i in range(0, len(items), AT_ONCE)]
+
+
 def _nearest_centre(centres: dict[str, np.ndarray], k: int) -> Callable:
     def shares_of(ext, x):
         import numpy as np
@@ -167,16 +159,44 @@ def _posterior(state: dict[str, list[Component]], k: int) -> Callable:
     return shares_of
 
 
-def _start(training: DataFrame, extensions: list[str], k: int, seed: int) -> dict[str, np.ndarray]:
-    """Centres of a k-means clustering of each extension."""
+def _centres(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 50) -> np.ndarray:
+    """k-means with spread-out starting points; fewer different rows than k repeat centres."""
+    centres = x[[rng.integers(len(x))]]
+    while len(centres) < k:
+        away = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).min(axis=1)
+        share = away / away.sum() if away.sum() > 0 else np.full(len(x), 1 / len(x))
+        centres = np.vstack((centres, x[rng.choice(len(x), p=share)]))
+    for _ in range(rounds):
+        label = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(k)])
+        if np.allclose(moved, centres, atol=1e-9):
+            break
+        centres = moved
+    return centres
+
+
+def _start(training: DataFrame, k: int, seed: int, max_rows: int = START_ROWS) -> dict[str, np.ndarray]:
+    """Centres of a k-means clustering of each extension, all in one job, on about `max_rows` rows of each.
+
+    The rows are those with the least hash. The centres are a start only; every
+    iteration that follows is over all rows.
+    """
     names = [scaled_name(f) for f in FEATURES]
-    estimator = KMeans(k=k, seed=seed, featuresCol="vector")
 
-    def fit(ext: str) -> np.ndarray:
-        rows = vector_of(training.where(F.col("file_ext") == ext), names).select("vector")
-        return np.array(estimator.fit(rows).clusterCenters())
+    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
+        x = rows.sort_values(["hash", *names], kind="stable")[names].to_numpy(dtype=float)
+        found = _centres(x, k, np.random.default_rng(seed))
+        return pd.DataFrame({"file_ext": rows["file_ext"].iloc[0], "centres": [found.ravel().tolist()]})
 
-    return per_extension(extensions, fit)
+    sizes = training.groupBy("file_ext").agg(F.count("*").alias("n_rows"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("hash"), *map(F.col, names)), F.lit(1_000_000))
+    sample = training.select("file_ext", "hash", *names).join(sizes, "file_ext").where(
+        F.col("n_rows") * bucket < F.lit(max_rows * 1_000_000)
+    )
+    found = sample.drop("n_rows").groupBy("file_ext").applyInPandas(cluster, "file_ext string, centres array<double>")
+    return {row.file_ext: np.array(row.centres).reshape(k, -1) for row in found.toLocalIterator()}
 
 
 def fit_mixtures(
@@ -193,28 +213,34 @@ def fit_mixtures(
     covariances. On feature rows, of which many are alike, its clusters shrink
     to single points, so each iteration here is one grouped sum over the rows
     of all extensions. Only some hundred numbers per extension reach the
-    driver. An extension whose mean log likelihood moved by less than
-    `tolerance` is left out of the next pass. `training` should come from
-    `training_set`, whose files are laid out per extension, so that a pass
-    reads only the extensions it needs.
+    driver, `AT_ONCE` extensions at a time. An extension whose mean log
+    likelihood moved by less than `tolerance` is left out of the next pass. The
+    scaled columns are kept in memory and on disk for the passes; what an
+    executor loses is read again from the training table.
     """
-    centres = _start(training, model_extensions(training), k, seed)
-    state = {
-        ext: _components(sums, k, floor)
-        for ext, sums in _sums(training, _nearest_centre(centres, k)).items()
-    }
-    bounds = dict.fromkeys(state, -math.inf)
-    moving = sorted(state)
-    for _ in range(max_iterations):
-        if not moving:
-            break
-        rows = training.where(F.col("file_ext").isin(moving))
-        for ext, sums in _sums(rows, _posterior({e: state[e] for e in moving}, k)).items():
-            state[ext] = _components(sums, k, floor)
-            bound = sums[1] / sums[0]
-            if abs(bound - bounds[ext]) < tolerance:
-                moving.remove(ext)
-            bounds[ext] = bound
+    needed = training.select("file_ext", *[scaled_name(f) for f in FEATURES]).persist(StorageLevel.MEMORY_AND_DISK)
+    state: dict[str, list[Component]] = {}
+    try:
+        start = _start(training, k, seed)
+        for centres in _slices(start):
+            rows = needed.where(F.col("file_ext").isin(list(centres))) if len(centres) < len(start) else needed
+            for ext, sums in _sums(rows, _nearest_centre(centres, k)).items():
+                state[ext] = _components(sums, k, floor)
+        bounds = dict.fromkeys(state, -math.inf)
+        moving = sorted(state)
+        for _ in range(max_iterations):
+            for parts in _slices({e: state[e] for e in moving}):
+                rows = needed.where(F.col("file_ext").isin(list(parts)))
+                for ext, sums in _sums(rows, _posterior(parts, k)).items():
+                    state[ext] = _components(sums, k, floor)
+                    bound = sums[1] / sums[0]
+                    if abs(bound - bounds[ext]) < tolerance:
+                        moving.remove(ext)
+                    bounds[ext] = bound
+            if not moving:
+                break
+    finally:
+        needed.unpersist()
     rows = [(ext, c, *part.row()) for ext, parts in state.items() for c, part in enumerate(parts)]
     return training.sparkSession.createDataFrame(rows, MIXTURE)
 
@@ -329,6 +355,7 @@ def with_posteriors(
     rows = models.limit(MODELS_AT_ONCE * k + 1).collect()
     if len(rows) <= MODELS_AT_ONCE * k:
         return _add_posteriors(frame, rows, k)
+    models = materialise(models, "models")
     slices = math.ceil(models.count() / (MODELS_AT_ONCE * k)) + 1
     parts = []
     for number in range(slices):

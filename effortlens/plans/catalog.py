@@ -26,7 +26,7 @@ from effortlens.operators import (
 from effortlens.plans import checks as ck
 from effortlens.plans import fixtures as fx
 from effortlens.plans import jobs
-from effortlens.schema import FEATURES, PERSONAL
+from effortlens.schema import FEATURES, NO_MODEL, PERSONAL
 from effortlens.session import fresh_path, materialise
 from effortlens.sources import csv as csv_files
 from effortlens.sources import json as json_files
@@ -903,6 +903,36 @@ def pca_variance(spark, sf_dir):
     return ex.explained_variance(model, frame)
 
 
+@register(
+    f"WITH {ck.FEATURED} SELECT cast({len(FEATURES)} AS BIGINT) AS components, 1.0::DOUBLE AS total, round(("
+    + " + ".join(f"corr({a}, {b}) * corr({a}, {b})" for a in FEATURES for b in FEATURES)
+    + f") / {len(FEATURES) ** 2}, 6) AS squares, true AS falling FROM fz"
+)
+def pca_invariants(spark, sf_dir):
+    """What any set of principal components of these features must add up to."""
+    frame = _feature_matrix(spark, sf_dir)
+    _, model = ex.pca(frame, FEATURES, k=len(FEATURES))
+    shares = ex.explained_variance(model, frame)
+    ratios = F.transform(F.array_sort(F.collect_list(F.struct("component", "ratio"))), lambda x: x["ratio"])
+    return shares.agg(
+        F.count("*").alias("components"),
+        F.round(F.sum("ratio"), 6).alias("total"),
+        F.round(F.sum(F.col("ratio") * F.col("ratio")), 6).alias("squares"),
+        (F.reverse(F.array_sort(ratios)) == ratios).alias("falling"),
+    )
+
+
+@register(f"WITH {ck.FEATURED} SELECT count(*) AS n_rows, cast(0 AS BIGINT) AS misplaced FROM fz")
+def kmeans_invariants(spark, sf_dir):
+    """Every row is in the cluster whose centre is nearest."""
+    frame = st.standardise(_feature_matrix(spark, sf_dir), FEATURES)
+    labelled, model = ex.kmeans(frame, FEATURES)
+    centres = [[float(v) for v in centre] for centre in model.clusterCenters()]
+    away = [sum(((F.col(f) - v) ** 2 for f, v in zip(FEATURES, centre)), F.lit(0.0)) for centre in centres]
+    own = F.element_at(F.array(*away), F.col("cluster") + 1)
+    return labelled.agg(F.count("*").alias("n_rows"), F.count_if(own > F.least(*away) + 1e-9).alias("misplaced"))
+
+
 @register()
 def kmeans_on_components(spark, sf_dir):
     """Clusters of the principal component scores: sizes."""
@@ -983,9 +1013,12 @@ def model_registry(spark, sf_dir):
     return model_files.registry(spark, root).select("file_ext", "kind", "n_rows", _learnt())
 
 
-@register()
+@register(
+    f"WITH {ck.EXT}, tt AS ({_TRAINING_SQL}) SELECT hash, Email, file_ext, "
+    "file_ext IN (SELECT file_ext FROM tt) AS has_model, true AS consistent FROM fx"
+)
 def score_file(spark, sf_dir):
-    """Train, anonymise to CSV, score the file, put e-mails back."""
+    """Train, anonymise to CSV, score the file, put e-mails back: every mod, its e-mail, and scores that add up."""
     root, source, target = (fresh_path(spark, n) for n in ("models", "hidden-csv", "scored-csv"))
     mods = materialise(fx.mods_with_ext(spark, sf_dir), "mods")
     jobs.train(mods, root)
@@ -994,8 +1027,13 @@ def score_file(spark, sf_dir):
     jobs.score_file(spark, source, target, root)
     found = csv_files.read_text_csv(spark, target)
     restored = pv.de_anonymise(found, materialise(emails, "emails"))
+    p, value, score = (F.col(c).cast("double") for c in _SCORES)
+    has_model = F.col("predicted_cluster") != NO_MODEL
+    known = has_model & p.between(0, 1 + 1e-9) & F.col("predicted_cluster").isin(*"01234") & (value > 0)
+    unknown = ~has_model & (p == 0) & (value == 0)
+    adds_up = F.abs(score - p * value) <= 1e-6 * F.greatest(F.lit(1.0), value)
     return restored.select(
-        "hash", "Email", "file_ext", "predicted_cluster", *[F.col(c).cast("double").alias(c) for c in _SCORES]
+        "hash", "Email", "file_ext", has_model.alias("has_model"), ((known | unknown) & adds_up).alias("consistent")
     )
 
 

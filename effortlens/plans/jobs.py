@@ -27,7 +27,7 @@ from effortlens.operators.mixture import (
 from effortlens.operators.scoring import score_mods
 from effortlens.operators.statistics import ranges, training_set
 from effortlens.schema import FEATURES
-from effortlens.session import materialise
+from effortlens.session import materialise, run_folder
 from effortlens.sources.csv import read_mods_csv, read_mods_many, write_csv
 from effortlens.sources.models import load_classifiers, load_mixture, load_training_ranges, save_models
 from effortlens.sources.store import ModStore
@@ -86,7 +86,8 @@ def fit_all(
 
 def train(mods: DataFrame, root: str, **options) -> None:
     """Fit all models and save them under `root`."""
-    save_models(mods.sparkSession, root, *fit_all(mods, **options))
+    with run_folder(mods.sparkSession, "train"):
+        save_models(mods.sparkSession, root, *fit_all(mods, **options))
 
 
 def score(mods: DataFrame, root: str, scaler: str = "target", min_rows: int = 0) -> DataFrame:
@@ -114,4 +115,5 @@ def rewrite_in_gmt(spark: SparkSession, paths: list[str], target: str) -> None:
 
 def score_file(spark: SparkSession, source: str, target: str, root: str, form: str = "csv", **options) -> None:
     """Anonymised mods in, scored mods out, all extensions in one result."""
-    write_mods(score(read_mods(spark, source, form), root, **options), target, form)
+    with run_folder(spark, "score"):
+        write_mods(score(read_mods(spark, source, form), root, **options), target, form)

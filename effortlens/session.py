@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +49,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+_run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str) -> Iterator[None]:
+    """Intermediate tables written inside go to one folder, which is removed at the end.
+
+    For jobs that end with a written result. A nested job uses the outer folder.
+    """
+    if _run_folder.get() is not None:
+        yield
+        return
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    token = _run_folder.set(path)
+    try:
+        yield
+    finally:
+        _run_folder.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path nobody has written yet, under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_run_folder.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:

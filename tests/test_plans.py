@@ -1,5 +1,6 @@
 """The plans the operators are meant to have."""
 
+import os
 import re
 
 import pytest
@@ -12,7 +13,7 @@ from effortlens.operators import report as rp
 from effortlens.operators import scoring as sc
 from effortlens.operators import statistics as st
 from effortlens.plans import fixtures
-from effortlens.session import materialise
+from effortlens.session import materialise, run_folder, shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -81,6 +82,31 @@ def bl_rows(mods):
     return mods.selectExpr("hash as orig_hash", "hash as blame_hash", "file_new_path as file")
 
 
+def test_blame_shuffles(spark, sf_dir):
+    """With broadcasts off; the line history is shuffled once, the labels need no shuffle of their own."""
+    at = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(at)
+    spark.conf.set(at, "-1")
+    try:
+        history = materialise(fixtures.line_history(spark, sf_dir), "history")
+        diffs = materialise(fixtures.mods_with_diff(spark, sf_dir), "diffs")
+        pairs = bl.blame_pairs(diffs, history)
+        assert shuffles(pairs) <= 6
+        assert shuffles(bl.label_bugs(diffs, materialise(pairs, "pairs"))) <= 2
+    finally:
+        spark.conf.set(at, before)
+
+
+def test_a_job_leaves_no_intermediate_tables(spark, sf_dir, tmp_path):
+    before = set(os.listdir(shared_dir(spark)))
+    with run_folder(spark, "job"):
+        materialise(spark.range(5), "x")
+        with run_folder(spark, "inner"):
+            assert materialise(spark.range(7), "y").count() == 7
+        assert len(set(os.listdir(shared_dir(spark))) - before) == 1
+    assert set(os.listdir(shared_dir(spark))) == before
+
+
 def test_model_rows_are_read_per_extension(mods):
     training = st.training_set(featured(mods))
     text = plan(training.where("file_ext = 'py'").select("scaled_total_changed"))
