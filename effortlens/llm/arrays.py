@@ -75,8 +75,17 @@ for _first, _last in ((48, 57), (65, 90), (97, 122), (128, 255)):
     _LETTER[_first : _last + 1] = True
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the accented capitals of Latin-1 (U+00C0 to U+00DE) in lower case."""
+    low = _LOWER[data]
+    accented = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = data[accented]
+    low[accented[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)]] += 32
+    return low
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word, in order: runs of letters and digits, A-Z lowered."""
+    """(hash, row) of every word, in order: runs of letters and digits, lowered as by `lowered`."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -94,7 +103,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = np.flatnonzero(inside & ~after) + 1
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    np.cumsum((lowered(data).astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     return hashes, np.searchsorted(offsets, starts, "right") - 1
 

@@ -147,8 +147,9 @@ def greedy_tiles(
     tiles, s = [], max(first, k)
     while True:
         found = _matches(doc, item, s)
-        # What a longer match overlaps is cut short and found again in the next turn.
-        for length, p, b in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
+        # What these overlap is cut short and found again in the next turn, with shorter matches.
+        longest = max((m[0] for m in found), default=0)
+        for length, p, b in sorted(m for m in found if m[0] == longest):
             if not doc.marked[p : p + length].any() and not item.marked[b : b + length].any():
                 doc.marked[p : p + length] = item.marked[b : b + length] = 1
                 tiles.append((p, b, length))

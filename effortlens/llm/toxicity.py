@@ -22,8 +22,10 @@ from effortlens.session import materialise
 
 # Labelled rows the machine is fitted on, at most; those with the least hash of their id.
 TRAIN_ROWS = 10_000
-# Terms the machine keeps: those whose presence depends most on the label.
+# Terms the machine keeps: those whose presence depends most on the label, and the most frequent ones,
+# which may tell something only together with another.
 TERMS = 1024
+FREQUENT_TERMS = 64
 FACTORS = 8
 EPOCHS = 60
 _HASH_MASK = (1 << 30) - 1
@@ -155,7 +157,10 @@ def _features(machine: Machine):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms: int = TERMS) -> Machine:
+def fit(
+    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms: int = TERMS,
+    frequent_terms: int = FREQUENT_TERMS,
+) -> Machine:
     """Fit on documents whose id is labelled and in the training fold.
 
     A document with several labels is toxic if one of them says so; null labels
@@ -172,17 +177,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms:
     sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     n, p = float(totals["n"]), float(totals["p"])
-    counts = (
+    counts = materialise(
         sample.mapInArrow(_term_counts, "term long, toxic long, rows long")
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
-        .where(F.col("rows") >= 3)
+        .where(F.col("rows") >= 3),
+        "toxicity-terms",
     )
     # Chi-square of presence and label.
     kept = counts.withColumn(
         "chi", F.pow(F.col("toxic") * n - F.col("rows") * p, 2) / (F.col("rows") * (n - F.col("rows") + 0.5))
-    ).orderBy(F.desc("chi"), "term").limit(terms)
-    names = sorted(r["term"] for r in kept.select("term").collect())
+    )
+    telling = kept.orderBy(F.desc("chi"), "term").limit(terms)
+    frequent = kept.orderBy(F.desc("rows"), "term").limit(frequent_terms)
+    names = sorted({r["term"] for part in (telling, frequent) for r in part.select("term").collect()})
     blank = Machine({t: i for i, t in enumerate(names)}, 0.0, np.zeros(0), np.zeros(0))
     rows = sample.mapInArrow(_features(blank), "toxic long, at array<long>, values array<double>").collect()
     rows = sorted(rows, key=lambda r: (r["toxic"], r["at"], r["values"]))

@@ -16,7 +16,7 @@ def words(text):
             out += [word] if word else []
             word = ""
         else:
-            word += c.lower() if c.isascii() else c
+            word += c.lower() if c.isascii() or "À" <= c <= "Þ" else c
     return out
 
 
@@ -62,7 +62,7 @@ def tables(spark):
         extra += [
             (700 + i, prose(rng, 30) + " " + " ".join(c + ["between"] + a + ["other"] + b) + " " + prose(rng, 9), "", "", 0),
             (720 + i, " ".join(a), "", "", 0),
-            (740 + i, ". ".join(w).upper(), "", "", 0),
+            (740 + i, "".join(c if c == "ß" else c.upper() for c in ". ".join(w)), "", "", 0),
             (760 + i, " ".join(w[::-1]), "", "", 0),
         ]
     return documents(spark, extra=extra + [extra[0]]), spark.createDataFrame(items, ITEM)
