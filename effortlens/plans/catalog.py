@@ -27,7 +27,7 @@ from effortlens.plans import checks as ck
 from effortlens.plans import fixtures as fx
 from effortlens.plans import jobs
 from effortlens.schema import FEATURES, NO_MODEL, PERSONAL
-from effortlens.session import fresh_path, materialise
+from effortlens.session import fresh_path, materialise, settle
 from effortlens.sources import csv as csv_files
 from effortlens.sources import json as json_files
 from effortlens.sources import models as model_files
@@ -571,7 +571,9 @@ _SCORES = ("probablities", "sum_centroid", "mod_score")
 
 def _scored(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     frame = _clustered(spark, sf_dir)
-    return sc.score_mods(frame, _model(frame).where(F.col("file_ext") != "md"), **options)
+    low_high = settle(st.ranges(frame), "ranges")[0]
+    mixture = mx.moment_mixture(st.scale_minmax(frame, low_high)).where(F.col("file_ext") != "md")
+    return sc.score_mods(frame, mixture, low_high, **options)
 
 
 @register(f"WITH {ck.SCORED} SELECT hash, file_name, file_ext, predicted_cluster, {sql_rounded(*_SCORES)} FROM sd")
