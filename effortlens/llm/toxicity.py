@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the words of a text and the beginnings of longer words, hashed to 30
-bits; a term's value grows with the number of different words that give it. The
-machine has a weight per term and, by a short vector per term, a weight per pair
+bits; a term's value grows with the number of different words that give it and
+with the term's rarity. The machine has a weight per term and, by a short vector per term, a weight per pair
 of terms: an insult counts for more beside the mention of a group, a word part
 for less in a long text. A linear model has no such products.
 """
@@ -28,6 +28,8 @@ TERMS = 1024
 FREQUENT_TERMS = 64
 FACTORS = 8
 EPOCHS = 60
+# Machines fitted from different starts; their mean is a machine again, with the factors of all.
+STARTS = 3
 _HASH_MASK = (1 << 30) - 1
 _PREFIXES = range(4, 11)
 # Length classes of a text: bit length of its number of different words.
@@ -48,10 +50,11 @@ def words_of(text: str | None) -> set[str]:
 
 @dataclass
 class Machine:
-    """A fitted machine: bias, weight and factors per kept term (length classes come last)."""
+    """A fitted machine: bias; scale, weight and factors per kept term (length classes come last)."""
 
     terms: dict[int, int]
     bias: float
+    scales: np.ndarray
     weights: np.ndarray
     factors: np.ndarray
 
@@ -72,7 +75,7 @@ class Machine:
         return at, values
 
     def probability(self, at: np.ndarray, values: np.ndarray) -> float:
-        v = self.factors[at]
+        v, values = self.factors[at], values * self.scales[at]
         pairs = ((values @ v) ** 2 - (values**2) @ (v**2)).sum() / 2
         z = self.bias + values @ self.weights[at] + pairs
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
@@ -80,41 +83,53 @@ class Machine:
 
 def fit_machine(
     terms: list[int], rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
-    factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7,
+    factors: int = FACTORS, epochs: int = EPOCHS, starts: int = STARTS, seed: int = 7,
 ) -> Machine:
     """Adam on the logistic loss over (places, values) rows. Without rows of both labels, all scores are the share of label 1."""
     n = len(terms) + _LENGTHS
-    rng = np.random.default_rng(seed)
-    w, v = np.zeros(n), rng.normal(0, 0.05, (n, factors))
+    seen = np.bincount(np.concatenate([at for at, _ in rows]) if rows else np.zeros(0, np.int64), minlength=n)
+    scales = np.sqrt(np.log((len(rows) + 1) / (seen + 1)))
     share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-6, 1 - 1e-6))
-    bias = float(np.log(share / (1 - share)))
+    bias, weights, vectors = float(np.log(share / (1 - share))), np.zeros(n), np.zeros((n, factors * starts))
     if len(labels) and 0 < labels.mean() < 1:
-        state = [np.zeros(1), w, v]
-        first = [np.zeros_like(x) for x in state]
-        second = [np.zeros_like(x) for x in state]
-        step, batch = 0, 128
-        for _ in range(epochs):
-            order = rng.permutation(len(rows))
-            for start in range(0, len(rows), batch):
-                chosen = order[start : start + batch]
-                x = np.zeros((len(chosen), n))
-                for r, i in enumerate(chosen):
-                    x[r, rows[i][0]] = rows[i][1]
-                xv, x2 = x @ v, x**2
-                z = bias + state[0][0] + x @ w + (xv**2 - x2 @ v**2).sum(1) / 2
-                g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[chosen]) / len(chosen)
-                grads = [
-                    np.array([g.sum()]),
-                    x.T @ g + 1e-4 * w,
-                    x.T @ (g[:, None] * xv) - (x2.T @ g)[:, None] * v + 1e-3 * v,
-                ]
-                step += 1
-                for s, d, a, b in zip(state, grads, first, second):
-                    a += 0.1 * (d - a)
-                    b += 0.001 * (d * d - b)
-                    s -= 0.02 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-        bias += float(state[0][0])
-    return Machine({t: i for i, t in enumerate(terms)}, bias, w, v)
+        table = np.zeros((len(rows), n))
+        for r, (at, values) in enumerate(rows):
+            table[r, at] = values * scales[at]
+        fits = [_descend(table, labels, bias, factors, epochs, np.random.default_rng(seed + i)) for i in range(starts)]
+        bias += sum(float(b[0]) for b, _, _ in fits) / starts
+        weights = sum(w for _, w, _ in fits) / starts
+        # A product of factors is a mean over machines once each is divided by the root of their number.
+        vectors = np.concatenate([v for _, _, v in fits], axis=1) / np.sqrt(starts)
+    return Machine({t: i for i, t in enumerate(terms)}, bias, scales, weights, vectors)
+
+
+def _descend(
+    table: np.ndarray, labels: np.ndarray, bias: float, factors: int, epochs: int, rng: np.random.Generator
+) -> list[np.ndarray]:
+    """Change of the bias, weights and factors after `epochs` passes over the rows in random order."""
+    state = [np.zeros(1), np.zeros(table.shape[1]), rng.normal(0, 0.05, (table.shape[1], factors))]
+    w, v = state[1:]
+    first, second = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
+    step, batch = 0, 128
+    for _ in range(epochs):
+        order = rng.permutation(len(table))
+        for start in range(0, len(table), batch):
+            chosen = order[start : start + batch]
+            x = table[chosen]
+            xv, x2 = x @ v, x**2
+            z = bias + state[0][0] + x @ w + (xv**2 - x2 @ v**2).sum(1) / 2
+            g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[chosen]) / len(chosen)
+            grads = [
+                np.array([g.sum()]),
+                x.T @ g + 1e-4 * w,
+                x.T @ (g[:, None] * xv) - (x2.T @ g)[:, None] * v + 1e-3 * v,
+            ]
+            step += 1
+            for s, d, a, b in zip(state, grads, first, second):
+                a += 0.1 * (d - a)
+                b += 0.001 * (d * d - b)
+                s -= 0.02 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+    return state
 
 
 def in_training(doc_id: str = "doc_id") -> Column:
@@ -191,7 +206,7 @@ def fit(
     telling = kept.orderBy(F.desc("chi"), "term").limit(terms)
     frequent = kept.orderBy(F.desc("rows"), "term").limit(frequent_terms)
     names = sorted({r["term"] for part in (telling, frequent) for r in part.select("term").collect()})
-    blank = Machine({t: i for i, t in enumerate(names)}, 0.0, np.zeros(0), np.zeros(0))
+    blank = Machine({t: i for i, t in enumerate(names)}, 0.0, np.zeros(0), np.zeros(0), np.zeros(0))
     rows = sample.mapInArrow(_features(blank), "toxic long, at array<long>, values array<double>").collect()
     rows = sorted(rows, key=lambda r: (r["toxic"], r["at"], r["values"]))
     return fit_machine(
