@@ -1,191 +1,271 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, of a target corpus and of the background, are counted over all
-documents. They share one vocabulary: words that make up at least a given share
-of the corpus, and one class for all others. A word's probability mixes its
-bigram and its unigram share, with one added to every unigram count. A
+documents and share one vocabulary: every word of the corpus. A word's probability
+mixes its bigram and its unigram share, with one added to every unigram count. A
 document's score is the mean over its words of target loss minus background
 loss, in nats: the lower, the more like the target.
 
-Words are known by 64-bit hashes. A share bounds how many words and pairs can
-have it, so the models are of bounded size while their counts cover all text.
+The models stay distributed: no table of words or pairs is ever in one place.
+Documents are dealt to groups; a group sends its distinct words and pairs with
+their counts to buckets by hash, a bucket sums them over all groups and sends each
+group the sums of what it named, in the same order. With these the group scores
+its documents.
+
+    documents, in groups --- words, pairs, counts ---> buckets: sums
+    the same groups  <--- sums of what the group named --- : scores
+
+A word in all documents comes once from each group, so no bucket holds more for
+being hot. Words and pairs are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effortlens.llm.arrays import blocks, utf8, word_hashes
-from effortlens.session import materialise
+from effortlens.llm.arrays import blocks, gram_hashes, utf8, word_hashes
+from effortlens.llm.repeats import _gaps, _pack, _unpack
 
-# A word, or pair of words, is in the models if it makes up this share of the corpus: 100,000 words and 500,000 pairs at most.
-WORD_SHARE = 1e-5
-PAIR_SHARE = 2e-6
+# Shares of the corpus under which a word falls into one class with all such words, and a pair counts as unseen: none.
+WORD_SHARE = 0.0
+PAIR_SHARE = 0.0
 # Weight of the bigram share in a word's probability.
 MIX = 0.5
-# Distinct hashes a task gathers before it hands them on.
+# Distinct hashes gathered before they are summed.
 GATHER = 1 << 20
+# Groups and buckets per shuffle partition.
+GROUPS, BUCKETS = 2, 1
+# Class of all words under the share.
+REST = np.uint64(0)
 
+# `packed` holds word keys and their four counts, pair keys and their two.
+_ASKS = "bucket int, group int, n_words int, n_pairs int, packed binary"
+# `packed` holds the counts alone; `target`, `total` and `known` are the bucket's words and distinct words.
+_SUMS = "round int, bucket int, group int, n_words int, n_pairs int, target long, total long, known long, packed binary"
+_SCORES = "doc_id long, n_words long, score double"
 
-def _summed(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their count in the target and in all text."""
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, target, len(found)).astype(np.int64), np.bincount(at, minlength=len(found))
 
+def _table(columns: list[list], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[f for f, _ in fields])
+
+
+def _empty(schema: str) -> pa.Table:
+    return _table([[] for _ in schema.split(", ")], schema)
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return (
-        keys,
-        np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64),
-        np.bincount(at, np.concatenate([p[2] for p in parts]), len(keys)).astype(np.int64),
-    )
 
+# --- counts --------------------------------------------------------------------
 
-def _count(keys_of):
-    """Count what `keys_of(words, rows)` gives, (keys, rows); summed in the task before it is handed on."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+class _Counts:
+    """Distinct keys in order, and the sums of `width` counts of each."""
 
-        def out():
-            keys, target, total = _merged(parts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(target), pa.array(total)], ["key", "target", "total"]
+    def __init__(self, width: int):
+        self.keys, self.counts, self.size = [np.zeros(0, np.uint64)], [np.zeros((width, 0), np.int64)], 0
+
+    def add(self, keys: np.ndarray, *counts: np.ndarray) -> None:
+        self._put(*_summed(keys, np.stack(counts)))
+        if self.size > 4 * GATHER:
+            self._put(*self.sums(), anew=True)
+
+    def _put(self, keys: np.ndarray, counts: np.ndarray, anew: bool = False) -> None:
+        if anew:
+            self.keys, self.counts, self.size = [], [], 0
+        self.keys.append(keys)
+        self.counts.append(counts)
+        # What is summed already does not call for another sum.
+        self.size += 0 if anew else len(keys)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate(self.keys), np.concatenate(self.counts, axis=1))
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.stack([np.bincount(at, c, len(found)) for c in counts]).astype(np.int64)
+
+
+def _texts(group: pa.Table, rare: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(word, row, pair, place of the pair's first word) of a group, block by block."""
+    data, offsets = utf8(group.column("text"))
+    for first, last in blocks(offsets):
+        part = offsets[first : last + 1]
+        words, rows = word_hashes(data[part[0] : part[-1]], part - part[0])
+        if len(rare):
+            words = np.where(np.isin(words, rare), REST, words)
+        pairs, at = gram_hashes(words, rows, 2)
+        yield words, rows + first, pairs, at
+
+
+def _counted(group: pa.Table, rare: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, ...]:
+    """(words, their counts in target and all text, and the same as a pair's first word; pairs, their counts)."""
+    flags = group.column("in_target").to_numpy().astype(np.int64)
+    words, pairs = _Counts(4), _Counts(2)
+    for found, rows, both, at in _texts(group, rare):
+        target, leads = flags[rows], np.zeros(len(found), np.int64)
+        leads[at] = 1
+        words.add(found, target, np.ones_like(leads), target * leads, leads)
+        if with_pairs:
+            pairs.add(both, target[at], np.ones(len(at), np.int64))
+    return *words.sums(), *pairs.sums()
+
+
+# --- the passes ------------------------------------------------------------------
+
+
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted keys."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(bucket.astype(np.int64), np.arange(buckets + 1))
+
+
+def _asks(name: int, counted: tuple[np.ndarray, ...], buckets: int) -> pa.Table:
+    words, word_counts, pairs, pair_counts = counted
+    word_edges, pair_edges = _edges(words, buckets), _edges(pairs, buckets)
+    columns: list[list] = [[], [], [], [], []]
+    for bucket in range(buckets):
+        w, p = (slice(e[bucket], e[bucket + 1]) for e in (word_edges, pair_edges))
+        n_words, n_pairs = w.stop - w.start, p.stop - p.start
+        if n_words or n_pairs:
+            packed = _pack(
+                _gaps(words[w]), word_counts[:, w].reshape(-1), _gaps(pairs[p]), pair_counts[:, p].reshape(-1)
             )
+            for column, value in zip(columns, (bucket, name, n_words, n_pairs, packed)):
+                column.append(value)
+    return _table(columns, _ASKS)
 
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            flags = batch.column("in_target").to_numpy(zero_copy_only=False).astype(np.int64)
-            for first, last in blocks(offsets):
-                part = offsets[first : last + 1]
-                keys, rows = keys_of(*word_hashes(data[part[0] : part[-1]], part - part[0]))
-                if len(keys):
-                    parts.append(_summed(keys, flags[first:last][rows]))
-                    size += len(parts[-1][0])
-                if size > 4 * GATHER:
-                    parts = [_merged(parts)]
-                    size = len(parts[0][0])
-                    if size > GATHER:
-                        yield out()
-                        parts, size = [], 0
-        if parts:
-            yield out()
+
+def _ask_pass(buckets: int, with_pairs: bool):
+    def run(group: pa.Table) -> pa.Table:
+        return _asks(group.column("group")[0].as_py(), _counted(group, np.zeros(0, np.uint64), with_pairs), buckets)
+
+    return run
+
+
+def _ask_classes_pass(buckets: int, word_share: float):
+    def run(group: pa.Table, sums: pa.Table) -> pa.Table:
+        if not len(group):
+            return _empty(_ASKS)
+        return _asks(group.column("group")[0].as_py(), _counted(group, _rare(group, sums, word_share)), buckets)
+
+    return run
+
+
+def _sum_pass(groups: int, number: int):
+    """Sums of a bucket's words and pairs, to the groups that named them; the bucket's totals, to all groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, n_words, n_pairs, parts = [], [], [], []
+        for group, n, m, packed in zip(*(table.column(c).to_pylist() for c in ("group", "n_words", "n_pairs", "packed"))):
+            words, word_counts, pairs, pair_counts = _unpack(
+                packed, (np.uint64, n), (np.int64, 4 * n), (np.uint64, m), (np.int64, 2 * m)
+            )
+            names.append(group)
+            n_words.append(n)
+            n_pairs.append(m)
+            parts.append((np.cumsum(words, dtype=np.uint64), word_counts.reshape(4, n), np.cumsum(pairs, dtype=np.uint64), pair_counts.reshape(2, m)))
+        sums, places = [], []
+        for i in (0, 2):
+            found, at = np.unique(np.concatenate([p[i] for p in parts]), return_inverse=True)
+            counts = np.concatenate([p[i + 1] for p in parts], axis=1)
+            sums.append(np.stack([np.bincount(at, c, len(found)) for c in counts]).astype(np.int64))
+            places.append(np.split(at, np.cumsum([len(p[i]) for p in parts])[:-1]))
+            if i == 0:
+                known = int(np.count_nonzero(found != REST))
+        parts.clear()
+        bucket = table.column("bucket")[0].as_py()
+        target, total = sums[0][:2].sum(axis=1).tolist()
+        answers = {
+            group: (n, m, _pack(sums[0][:, w].reshape(-1), sums[1][:, p].reshape(-1)))
+            for group, n, m, w, p in zip(names, n_words, n_pairs, *places)
+        }
+        rows = [(number, bucket, g, *answers.get(g, (0, 0, b""))[:2], target, total, known, answers.get(g, (0, 0, b""))[2]) for g in range(groups)]
+        return _table([list(c) for c in zip(*rows)], _SUMS)
 
     return run
 
 
-@dataclass
-class Models:
-    """Word classes by sorted hash (class 0 is every other word), and what is known of words and pairs."""
-
-    words: np.ndarray
-    unigram: np.ndarray  # (2, classes): probabilities, target and background
-    totals: np.ndarray  # (2, classes): counts as the first word of a pair
-    pairs: np.ndarray  # sorted keys, first class * classes + second class
-    counts: np.ndarray  # (2, pairs)
-    mix: float
-
-    def classes(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(words), np.int64)
-        at = np.searchsorted(self.words, words)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == words, at + 1, 0)
-
-    def pair_keys(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Key of every word with the word before it, where both stand in one row."""
-        c = self.classes(words)
-        keys = (c[:-1] * (len(self.words) + 1) + c[1:])
-        at = np.flatnonzero(rows[1:] == rows[:-1])
-        return keys[at].astype(np.uint64), rows[at + 1]
-
-    def differences(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Target loss minus background loss of every word."""
-        c = self.classes(words)
-        p = self.unigram[:, c].copy()
-        if len(words) > 1 and len(self.pairs):
-            keys = (c[:-1] * (len(self.words) + 1) + c[1:]).astype(np.uint64)
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            seen = self.counts[:, at] * (self.pairs[at] == keys)
-            before = self.totals[:, c[:-1]]
-            share = seen / np.maximum(before, 1)
-            use = (rows[1:] == rows[:-1]) & (before > 0)
-            p[:, 1:] = np.where(use, self.mix * share + (1 - self.mix) * p[:, 1:], p[:, 1:])
-        return np.log(p[1]) - np.log(p[0])
-
-
-def _collected(counts: DataFrame, share: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of at least `least` occurrences (so 1 / share rows at most) in order, and their two counts."""
-    table = counts.where(F.col("total") >= least).select("key", "target", "total").toArrow()
-    keys = table["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.stack([table["target"].to_numpy(), table["total"].to_numpy()])[:, order].astype(np.float64)
-
-
-def fit(texts: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, mix: float = MIX) -> Models:
-    """Count the models over `texts` (text, in_target): the target's rows, and all rows as the background."""
-    schema = "key long, target long, total long"
-    grouped = lambda df: df.groupBy("key").agg(F.sum("target").alias("target"), F.sum("total").alias("total"))
-    words = materialise(grouped(texts.mapInArrow(_count(lambda w, r: (w, r)), schema)), "domain-words")
-    sums = words.agg(F.coalesce(F.sum("target"), F.lit(0)).alias("target"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
-    n = np.array([float(sums["target"]), float(sums["total"])])
-    keys, counts = _collected(words, word_share, max(1.0, word_share * n[1]))
-    classes = len(keys) + 1
-    rest = n - counts.sum(axis=1) if len(keys) else n
-    counts = np.concatenate((rest[:, None], counts), axis=1)
-    unigram = (counts + 1) / (n[:, None] + classes)
-    models = Models(keys, unigram, np.zeros((2, classes)), np.zeros(0, np.uint64), np.zeros((2, 0)), mix)
-    pairs = materialise(grouped(texts.mapInArrow(_count(models.pair_keys), schema)), "domain-pairs")
-    # One row per word class at most.
-    firsts = pairs.groupBy(F.expr(f"key div {classes}").alias("first")).agg(F.sum("target"), F.sum("total")).collect()
-    for first, target, total in firsts:
-        models.totals[:, first] = target, total
-    models.pairs, models.counts = _collected(pairs, pair_share, max(1.0, pair_share * n[1]))
-    return models
-
-
-def _scores(models: Models):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for first, last in blocks(offsets):
-                part = offsets[first : last + 1]
-                words, rows = word_hashes(data[part[0] : part[-1]], part - part[0])
-                n = np.bincount(rows, minlength=last - first)
-                total = np.bincount(rows, models.differences(words, rows), last - first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(first, last - first),
-                        pa.array(n),
-                        pa.array(total / np.maximum(n, 1), mask=n == 0),
-                    ],
-                    ["doc_id", "n_words", "score"],
-                )
+def _read_sums(sums: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(sums of the group's words in order, of its pairs; words of the target and of all text; distinct words)."""
+    words, pairs, n, known = [np.zeros((4, 0), np.int64)], [np.zeros((2, 0), np.int64)], np.zeros(2), 0
+    columns = ("round", "n_words", "n_pairs", "target", "total", "known", "packed")
+    for own, a, b, target, total, distinct, packed in zip(*(sums.sort_by("bucket").column(c).to_pylist() for c in columns)):
+        if own != number:
+            continue
+        n += (target, total)
+        known += distinct
+        if a or b:
+            w, p = _unpack(packed, (np.int64, 4 * a), (np.int64, 2 * b))
+            words.append(w.reshape(4, a))
+            pairs.append(p.reshape(2, b))
+    return np.concatenate(words, axis=1), np.concatenate(pairs, axis=1), n, known
+
+
+def _rare(group: pa.Table, sums: pa.Table, word_share: float) -> np.ndarray:
+    """The group's words under the share, in order."""
+    words = _counted(group, np.zeros(0, np.uint64), with_pairs=False)[0]
+    counts, _, n, _ = _read_sums(sums, 0)
+    return words[counts[1] < max(1.0, word_share * n[1])]
+
+
+def _score_pass(word_share: float, pair_share: float, mix: float):
+    def run(group: pa.Table, sums: pa.Table) -> pa.Table:
+        if not len(group):
+            return _empty(_SCORES)
+        rare = _rare(group, sums, word_share) if word_share > 0 else np.zeros(0, np.uint64)
+        words, _, pairs, _ = _counted(group, rare)
+        word_counts, pair_counts, n, known = _read_sums(sums, 1)
+        pair_counts *= pair_counts[1] >= max(1.0, pair_share * n[1])
+        n_words, loss = np.zeros(len(group), np.int64), np.zeros(len(group))
+        for found, rows, both, at in _texts(group, rare):
+            c = np.searchsorted(words, found)
+            p = (word_counts[:2, c] + 1) / (n[:, None] + known + 1)
+            if len(at):
+                seen = pair_counts[:, np.searchsorted(pairs, both)]
+                before, alone = word_counts[2:, c[at]], p[:, at + 1]
+                p[:, at + 1] = np.where(before > 0, mix * (seen / np.maximum(before, 1)) + (1 - mix) * alone, alone)
+            n_words += np.bincount(rows, minlength=len(group))
+            loss += np.bincount(rows, np.log(p[1]) - np.log(p[0]), len(group))
+        score = pa.array(loss / np.maximum(n_words, 1), mask=n_words == 0)
+        return pa.table({"doc_id": group.column("doc_id"), "n_words": pa.array(n_words), "score": score})
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, **settings: float) -> DataFrame:
+def cross_entropy_difference(
+    docs: DataFrame, target_ids: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, mix: float = MIX
+) -> DataFrame:
     """(doc_id, n_words, score) for every row of `docs` (doc_id, text, any others).
 
     `target_ids` (doc_id) names the target's documents; ids that occur twice,
     are null, or have no document change nothing. A null or empty text, or one
     without words, has a null score and no words. With an empty target its
-    model is even over the vocabulary.
+    model is even over the vocabulary. With a `word_share`, words that make up
+    less of the corpus are one class, at the price of another round of counts;
+    with a `pair_share`, pairs under it count as never seen.
     """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups, buckets = GROUPS * partitions, BUCKETS * partitions
     flags = target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("in_target", F.lit(True))
     # The target may be as large as the corpus: a sorted join at every size, never a broadcast.
-    flags = flags.hint("merge")
-    texts = materialise(
-        docs.select("doc_id", "text").join(flags, "doc_id", "left").withColumn("in_target", F.coalesce("in_target", F.lit(False))),
-        "domain-texts",
+    texts = docs.select("doc_id", "text").join(flags.hint("merge"), "doc_id", "left").select(
+        F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(groups)).cast("int").alias("group"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("in_target", F.lit(False)).alias("in_target"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
-    models = fit(texts.select("text", "in_target"), **settings)
-    return texts.select("doc_id", "text").mapInArrow(_scores(models), "doc_id long, n_words long, score double")
+    by_group = texts.groupBy("group")
+    summed = lambda asks, number: asks.groupBy("bucket").applyInArrow(_sum_pass(groups, number), _SUMS)
+    if word_share > 0:
+        first = summed(by_group.applyInArrow(_ask_pass(buckets, False), _ASKS), 0)
+        asks = by_group.cogroup(first.groupBy("group")).applyInArrow(_ask_classes_pass(buckets, word_share), _ASKS)
+        sums = first.unionByName(summed(asks, 1))
+    else:
+        sums = summed(by_group.applyInArrow(_ask_pass(buckets, True), _ASKS), 1)
+    return by_group.cogroup(sums.groupBy("group")).applyInArrow(_score_pass(word_share, pair_share, mix), _SCORES)

@@ -83,3 +83,13 @@ def test_whole_table(spark, sf_dir):
     good = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
     wanted = brute(rows, good, domain_scores.WORD_SHARE, domain_scores.PAIR_SHARE)
     near(QUERIES["op8_cross_entropy_difference"](spark, sf_dir).collect(), wanted)
+
+
+def test_rare_words_and_pairs_of_a_larger_corpus(spark):
+    """At 300,000 words, what occurs once or twice is counted and scored as in a small corpus."""
+    common = " ".join(["the quick brown fox jumps over a lazy dog"] * 110)
+    rows = [(i, f"rare{i // 2} odd{i} {common}") for i in range(300)] + [(900, "rare3 odd7 rare3 the fox")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    target = {0, 3, 7, 50, 900}
+    ids = spark.createDataFrame([(i,) for i in target], "doc_id long")
+    near(domain_scores.cross_entropy_difference(docs, ids).collect(), brute(rows, target, 0.0, 0.0))
