@@ -36,12 +36,13 @@ from effortlens.llm.arrays import blocks, mixed, powers, utf8
 WINDOW = 50
 GRAM = 24
 BLOCK = 1 << 18
-# Bytes of stretches in one index, at about; stretches of one anchor stay together.
+# Bytes of stretches in one index, at about; stretches of one anchor stay together. An anchor
+# whose stretches, distinct in each group, are more than this in all groups is common, as at the
+# edges of a passage that very many documents share, where every document has its own stretch: its
+# windows are dealt to buckets one by one, by their own hash.
 INDEX_BYTES = 1 << 19
-# An anchor in more groups than this is common, as at the edges of a passage that very many
-# documents share. Its stretches, at most a few per group and all different, would be more than a
-# bucket should hold: its windows are dealt to buckets one by one, by their own hash.
-COMMON_GROUPS = 4096
+# Of an anchor with no more stretches than this in a group, all count as distinct.
+FEW = 4
 # Groups and buckets per shuffle partition.
 GROUPS, BUCKETS = 2, 1
 
@@ -366,28 +367,59 @@ def marked_ranges(
 # --- the passes --------------------------------------------------------------------
 
 _ANCHORS = "bucket int, group int, rests binary"
+# `many`: the rests with more bytes of stretches than the longest stretch has, and `over`, by how many.
+_FOUND = f"{_ANCHORS}, many binary, over binary"
 # `packed` holds the stretches' keys, documents, rows, places, lengths and bytes; with no bytes, it holds marks.
 _STRETCHES = "bucket int, group int, n int, n_bytes long, packed binary"
 _MARKS = "group int, n int, packed binary"
 
 
+def _longest(window: int) -> int:
+    """Bytes of the longest stretch."""
+    return 2 * window - GRAM
+
+
+def _distinct_bytes(
+    data: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray, times: np.ndarray
+) -> np.ndarray:
+    """Bytes of the distinct stretches of each anchor; `at` is a stretch's anchor, `times` an anchor's stretches."""
+    often = times[at] > FEW
+    total = np.bincount(at[~often], size[~often], len(times))
+    begin, size, at = begin[often], size[often], at[often]
+    if len(at):
+        own = _string_hashes(data[_ranges(begin, size)], np.cumsum(size) - size, size)
+        order = np.lexsort((own, at))
+        own, size, at = own[order], size[order], at[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1])
+        total += np.bincount(at[new], size[new], len(times))
+    return total.astype(np.int64)
+
+
 def _anchor_pass(buckets: int, window: int):
     def run(group: pa.Table) -> pa.Table:
-        hashes = _stretches(*utf8(group.column("text")), window)[3]
-        bucket, rest = _key(np.unique(hashes), buckets)
-        order = np.lexsort((rest, bucket))
+        data, offsets = utf8(group.column("text"))
+        row, start, size, hashes = _stretches(data, offsets, window)
+        bucket, rest = _key(hashes, buckets)
+        key = (bucket.astype(np.uint64) << np.uint64(32)) | rest
+        distinct, at, times = np.unique(key, return_inverse=True, return_counts=True)
+        over = _distinct_bytes(data, offsets[row] + start, size, at, times) - _longest(window)
+        bucket, rest = (distinct >> np.uint64(32)).astype(np.int64), distinct.astype(np.uint32)
         found, sizes = np.unique(bucket, return_counts=True)
+        many = over > 0
+        n_many = np.bincount(np.searchsorted(found, bucket[many]), minlength=len(found))
         name = group.column("group")[0].as_py()
         return pa.table(
             {"bucket": pa.array(found, pa.int32()), "group": pa.array(np.full(len(found), name), pa.int32()),
-             "rests": _binary(rest[order], sizes)}
+             "rests": _binary(rest, sizes), "many": _binary(rest[many], n_many),
+             "over": _binary(over[many].astype(np.uint32), n_many)}
         )
 
     return run
 
 
-def _sharing_pass(common_groups: int):
-    """Anchors of a bucket that several groups have, back to these groups; `common` tells those of very many."""
+def _sharing_pass(window: int, common_bytes: int = INDEX_BYTES, common_groups: int | None = None):
+    """Anchors of a bucket that several groups have, back to these groups; `common` tells those of very many stretches."""
 
     def run(table: pa.Table) -> pa.Table:
         rests = _values(table.column("rests"), np.uint32)
@@ -398,9 +430,15 @@ def _sharing_pass(common_groups: int):
         own = np.ones(len(rests), bool)
         own[1:] = (rests[1:] != rests[:-1]) | (groups[1:] != groups[:-1])
         rests, groups = rests[own], groups[own]
-        _, at, counts = np.unique(rests, return_inverse=True, return_counts=True)
-        shared = counts[at] > 1
-        rests, groups, common = rests[shared], groups[shared], (counts[at] > common_groups)[shared]
+        distinct, at, counts = np.unique(rests, return_inverse=True, return_counts=True)
+        many = np.searchsorted(distinct, _values(table.column("many"), np.uint32))
+        n_bytes = counts * _longest(window) + np.bincount(many, _values(table.column("over"), np.uint32), len(distinct))
+        common = n_bytes > common_bytes
+        if common_groups is not None:
+            common |= counts > common_groups
+        # A common anchor's only group needs to know it, too.
+        shared = ((counts > 1) | common)[at]
+        rests, groups, common = rests[shared], groups[shared], common[at][shared]
         order = np.lexsort((rests, groups))
         found, sizes = np.unique(groups, return_counts=True)
         bucket = table.column("bucket")[0].as_py()
@@ -567,7 +605,9 @@ def _cut_pass(group: pa.Table, marks: pa.Table) -> pa.Table:
     )
 
 
-def cut_repeats(docs: DataFrame, window: int = WINDOW, common_groups: int = COMMON_GROUPS) -> DataFrame:
+def cut_repeats(
+    docs: DataFrame, window: int = WINDOW, common_groups: int | None = None, common_bytes: int = INDEX_BYTES
+) -> DataFrame:
     """(doc_id, n_bytes, starts, stops, kept) for every row of `docs` (doc_id, text, any others).
 
     A byte of the UTF-8 text is removed if a string of `window` bytes that covers
@@ -576,7 +616,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, common_groups: int = COMM
     they are in the input. A null text counts as empty; texts shorter than the
     window stay whole. Rows of one doc_id do not remove from each other, rows
     without one count as a last document. The longest string of one anchor,
-    window + (window - GRAM) bytes, must be under 256.
+    window + (window - GRAM) bytes, must be under 256. Anchors of over `common_bytes`
+    of stretches, or of over `common_groups` groups if given, are dealt window by window.
     """
     if not GRAM + 1 < window < 128:
         raise ValueError(f"window must be over {GRAM + 1} and under 128")
@@ -591,8 +632,10 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, common_groups: int = COMM
         doc.alias("doc"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    found = texts.groupBy("group").applyInArrow(_anchor_pass(buckets, window), _ANCHORS)
-    shared = found.groupBy("bucket").applyInArrow(_sharing_pass(common_groups), f"{_ANCHORS}, common binary")
+    found = texts.groupBy("group").applyInArrow(_anchor_pass(buckets, window), _FOUND)
+    shared = found.groupBy("bucket").applyInArrow(
+        _sharing_pass(window, common_bytes, common_groups), f"{_ANCHORS}, common binary"
+    )
     stretches = texts.groupBy("group").cogroup(shared.groupBy("group")).applyInArrow(
         _stretch_pass(buckets, window), _STRETCHES
     )

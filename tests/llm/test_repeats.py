@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from fixtures import DOC, clashing, documents, plain
 
@@ -74,6 +76,33 @@ def test_an_anchor_of_very_many_groups(spark):
     assert plain(found(docs)) == wanted
 
 
+def test_an_anchor_of_few_groups_with_very_many_stretches(spark):
+    """What one index holds is bounded, however few groups the documents fill."""
+    passage = "a passage that a third of all documents hold, with another text before and behind it in every one"
+    tables = [
+        pa.table(
+            {"group": pa.array([g] * 8000, pa.int32()), "doc_id": range(g * 8000, g * 8000 + 8000), "place": range(g * 8000, g * 8000 + 8000),
+             "doc": range(8000), "text": [f"{hashlib.md5(b'%d %d' % (g, i)).hexdigest()} {passage} {i * 7919 % 8009} {g}" for i in range(8000)]}
+        )
+        for g in range(2)
+    ]
+    anchors = pa.concat_tables([repeats._anchor_pass(1, 50)(t) for t in tables])
+    shared = repeats._sharing_pass(50)(anchors)
+    pick = lambda g: shared.filter(pa.compute.equal(shared.column("group"), g))
+    held = {}
+    for g, t in enumerate(tables):
+        for r in repeats._stretch_pass(1, 50)(t, pick(g)).to_pylist():
+            if r["n_bytes"]:
+                kinds = [(k, r["n"]) for k in (np.uint32, np.int64, np.int32, np.int64, np.uint8)]
+                keys, _, _, _, sizes, _ = repeats._unpack(r["packed"], *kinds, (np.uint8, r["n_bytes"]))
+                for k, n in zip(keys.tolist(), sizes.tolist()):
+                    held[k] = held.get(k, 0) + n
+    assert 0 < max(held.values()) <= repeats.INDEX_BYTES
+    rows = [(r["doc_id"], r["text"], "", "", 0) for t in tables for r in t.slice(0, 60).to_pylist()]
+    wanted = plain(brute([(r[0], r[1]) for r in rows]))
+    assert plain(found(spark.createDataFrame(rows, DOC), common_bytes=1000)) == wanted
+
+
 def test_index_against_sorted_suffixes():
     rng = np.random.default_rng(3)
     strings = [rng.integers(97, 99, rng.integers(50, 77)).astype(np.uint8) for _ in range(40)]
