@@ -171,12 +171,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _filed(index: Index, probes: int):
+def _filed(index: Index, probes: int, sizes: np.ndarray | None = None, least: int = 0):
+    """The `probes` first partitions of every row; with `sizes`, on down its ranking until they hold `least` rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                ranked = index.ranked(_matrix(batch.column("vector")))[:, :probes]
-                places = pa.array(ranked.astype(np.int32).tolist(), pa.list_(pa.int32()))
+                ranked = index.ranked(_matrix(batch.column("vector")))
+                n = np.full(len(ranked), min(probes, ranked.shape[1]))
+                if sizes is not None:
+                    short = (np.cumsum(sizes[ranked], axis=1) < least).sum(axis=1) + 1
+                    n = np.minimum(np.maximum(n, short), ranked.shape[1])
+                places = pa.array([row[:m] for row, m in zip(ranked.astype(np.int32).tolist(), n.tolist())], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, places], [*batch.schema.names, "parts"])
 
     return run
@@ -229,8 +235,8 @@ def nearest(
     is the Euclidean distance in double precision; ties go to the smaller
     vec_id. Rows without an id, and vectors that are null, empty, all zero, of
     another size than most, or have null or non-finite components, take no
-    part. Repeated rows of one id count as one (the least vector). A query with
-    fewer than k candidates in its probed partitions gets those there are.
+    part. Repeated rows of one id count as one (the least vector). A query gets
+    fewer than k rows only if there are fewer candidates.
     """
     schema = "vec_id long, vector array<double>"
     valid = vectors.where(usable("embedding") & F.col("vec_id").isNotNull())
@@ -247,10 +253,16 @@ def nearest(
 
     home = F.element_at("parts", 1).alias("part")
     filed = clean.mapInArrow(_filed(index, 1), f"{schema}, parts array<int>").select("vec_id", "vector", home)
-    asked = take(queries).mapInArrow(_filed(index, index.probes), f"{schema}, parts array<int>").select(
+    filed = materialise(filed, "ann-filed")
+    # One row per partition.
+    sizes = np.zeros(parts, np.int64)
+    for part, n in filed.groupBy("part").count().collect():
+        sizes[part] = n
+    # One row more than k, as a query's own may be among them.
+    asked = take(queries).mapInArrow(_filed(index, index.probes, sizes, k + 1), f"{schema}, parts array<int>").select(
         "vec_id", "vector", F.explode("parts").alias("part")
     )
-    rows = _blocks(materialise(filed, "ann-filed"), BLOCK_ROWS, "ids", "flat")
+    rows = _blocks(filed, BLOCK_ROWS, "ids", "flat")
     wanted = _blocks(materialise(asked, "ann-asked"), BLOCK_QUERIES, "q_ids", "q_flat")
     found = (
         wanted.drop("block").join(rows.drop("block"), "part")

@@ -83,3 +83,12 @@ def test_recall_on_the_tables(spark):
         rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
         wanted = brute(rows, [i for i, _ in rows if i % 100 == 0][:60])
         assert recall(found(QUERIES["op2_learned_partitions"](spark, folder)), wanted) >= 0.9
+
+
+def test_queries_of_almost_empty_partitions_probe_on(spark):
+    """Of 70 rows 63 are copies of one vector; every query still gets ten neighbours."""
+    data = np.random.default_rng(0).normal(0, 1, (70, 8))
+    data[:63] = data[0]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(data.astype(np.float32))], VECTOR)
+    got = found(neighbours.nearest(df, df))
+    assert {q: len(near) for q, near in got.items()} == dict.fromkeys(range(70), 10)
