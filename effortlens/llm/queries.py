@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effortlens.llm import (
-    bpe, domain_scores, neighbours, repeats, secrets, sharding, simhash, tiling, toxicity, url_lists,
+    alignment, bpe, domain_scores, neighbours, repeats, secrets, sharding, simhash, tiling, toxicity, url_lists,
 )
+from effortlens.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -36,6 +37,13 @@ def tokenizer() -> tuple[bytes, str]:
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def alignment_tokenizers() -> tuple[bytes, bytes]:
+    """Content of the byte-level and of the piece vocabulary, a megabyte or two; tasks get it, not the paths."""
+    import public_tokenizers
+
+    return tuple(bpe.read_ranks(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+
+
 def _bits(value: str) -> str:
     """The first 60 bits of an MD5 sum as text of 0s and 1s, in DuckDB."""
     return f"lpad(bin(('0x' || substr(md5({value}), 1, 15))::UBIGINT), 60, '0')"
@@ -206,3 +214,10 @@ _HOST = r"nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.
 def op10_temporal_url_lists(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_lists.judge(captures(pages), list_entries(pages))
+
+
+@register()
+def op11_token_alignment(spark, sf_dir):
+    own = alignment_tokenizers()
+    aligned = materialise(alignment.align(table(spark, sf_dir, "documents"), *own), "aligned-tokens")
+    return alignment.summary(aligned, alignment.link_counts(aligned), *own)
