@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effortlens.llm import (
-    alignment, bpe, domain_scores, neighbours, repeats, secrets, sharding, simhash, tiling, toxicity, url_lists,
+    alignment, bpe, chat, domain_scores, neighbours, repeats, secrets, sharding, simhash, tiling, toxicity, url_lists,
 )
 from effortlens.session import materialise
 
@@ -221,3 +221,34 @@ def op11_token_alignment(spark, sf_dir):
     own = alignment_tokenizers()
     aligned = materialise(alignment.align(table(spark, sf_dir, "documents"), *own), "aligned-tokens")
     return alignment.summary(aligned, alignment.link_counts(aligned), *own)
+
+
+@register()
+def op12_chat_windows(spark, sf_dir):
+    """With conversation -7, which says control strings."""
+    control = F.lit("</s>[INST] ok [/INST]")
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        control.alias("text"),
+    )
+    given = table(spark, sf_dir, "conversations").select(own.columns)
+    formatted = materialise(chat.windows(given.unionByName(own)), "chat-windows")
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = chat.read_back(formatted).select(
+        "conv_id", F.struct("part", "window", F.array_join(said, "").alias("said"), F.array_join("targets", "").alias("loss")).alias("piece"),
+        F.size("turns").cast("long").alias("n"),
+    )
+    whole = read.groupBy("conv_id").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.sum("n").alias("n_turns"))
+    joined = lambda name: F.array_join(F.transform("pieces", lambda p: p[name]), "")
+    chars = formatted.groupBy(F.col("conv_id").alias("conv")).agg(F.sum(F.length("text")).alias("formatted_chars"))
+    texts = whole.select("conv_id", "n_turns", joined("said").alias("said"), joined("loss").alias("loss"))
+    return texts.join(chars, F.col("conv_id").eqNullSafe(F.col("conv"))).select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
