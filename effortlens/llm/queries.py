@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from effortlens.llm import (
     alignment, bpe, chat, domain_scores, neighbours, repeats, secrets, sharding, simhash, tiling, toxicity, url_lists,
+    whitening,
 )
 from effortlens.session import materialise
 
@@ -252,3 +253,8 @@ def op12_chat_windows(spark, sf_dir):
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@register()
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
