@@ -11,7 +11,7 @@ Decoding concatenates the raw bytes of the tokens.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -119,41 +119,38 @@ def stitched_pieces(texts: DataFrame, pattern: str, chunk: int = CHUNK_CHARS, ov
 
 
 def encode(
-    docs: DataFrame, ranks: bytes, pattern: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS
+    docs: DataFrame,
+    ranks: bytes,
+    pattern: str,
+    chunk: int = CHUNK_CHARS,
+    overlap: int = OVERLAP_CHARS,
+    keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
-    """(doc_id, ids, decoded) for every row of `docs` (doc_id, text, any others).
+    """(doc_id, ids, decoded) for every row of `docs` (doc_id, text, any others); `keep` names the columns kept beside `ids` and `decoded`.
 
     `ids` are the token ids of the whole text, `decoded` the bytes that decoding
     the ids gives. A null text counts as empty and has no ids. Repeated rows
     give repeated results; null ids of documents are kept.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kept = [f"_kept{i}" for i in range(len(keep))]
+    types = [docs.schema[name].dataType.simpleString() for name in keep]
+    texts = docs.select(*[F.col(f"`{name}`").alias(k) for name, k in zip(keep, kept)], F.coalesce("text", F.lit("")).alias("text"))
     one = texts.where(F.length("text") <= chunk)
-    short = one.mapInArrow(_encoder(ranks, pattern, ["doc_id"]), "doc_id long, ids array<int>, decoded binary")
+    schema = ", ".join([*(f"{k} {t}" for k, t in zip(kept, types)), "ids array<int>", "decoded binary"])
+    short = one.mapInArrow(_encoder(ranks, pattern, kept), schema)
 
-    # Equal rows of long texts are worked on once.
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256))
-    long = texts.where(F.length("text") > chunk).withColumn("key", key)
-    copies = long.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    # Equal long texts are worked on once.
+    long = texts.where(F.length("text") > chunk).withColumn("key", F.sha2("text", 256))
     # Two rows of one key have equal texts, so any of them stands for all.
     pieces = stitched_pieces(long.select("key", "text").dropDuplicates(["key"]), pattern, chunk, overlap)
     encoded = pieces.mapInArrow(
         _encoder(ranks, pattern, ["key", "piece"]), "key string, piece long, ids array<int>, decoded binary"
     )
     whole = encoded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("pieces"))
-    long_ids = (
-        whole.join(copies, "key")
-        .select(
-            "doc_id",
-            F.flatten(F.transform("pieces", lambda x: x["ids"])).alias("ids"),
-            F.aggregate(
-                "pieces", F.lit(b"").cast("binary"), lambda out, x: F.concat(out, x["decoded"])
-            ).alias("decoded"),
-            F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-        )
-        .drop("copy")
-    )
-    return short.unionByName(long_ids)
+    decoded = F.aggregate("pieces", F.lit(b"").cast("binary"), lambda out, x: F.concat(out, x["decoded"]))
+    texts_done = whole.select("key", F.flatten(F.transform("pieces", lambda x: x["ids"])).alias("ids"), decoded.alias("decoded"))
+    long_ids = long.select("key", *kept).join(texts_done, "key").select(*kept, "ids", "decoded")
+    return short.unionByName(long_ids).select(*[F.col(k).alias(name) for k, name in zip(kept, keep)], "ids", "decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
