@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effortlens.operators import commits, privacy, report
-from effortlens.operators.classifier import BOOST_DEPTH, BOOST_ROUNDS, MAX_ROWS
+from effortlens.operators.classifier import BOOST_DEPTH, BOOST_ROUNDS
 from effortlens.plans import jobs
 from effortlens.session import spark_session
 from effortlens.sources.csv import read_mods_many
@@ -68,7 +68,7 @@ def _train(spark: SparkSession, args: argparse.Namespace) -> None:
         mods = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(spark.read.parquet, args.mods))
     else:
         mods = read_mods_many(spark, args.mods).drop("origin")
-    jobs.train(mods, args.models, kind=args.classifier, rounds=args.rounds, depth=args.depth, max_rows=args.max_rows)
+    jobs.train(mods, args.models, kind=args.classifier, rounds=args.rounds, depth=args.depth)
 
 
 def _score(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -122,7 +122,6 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--classifier", choices=("boosted", "forest"), default="boosted")
     sub.add_argument("--rounds", type=int, default=BOOST_ROUNDS, help="trees per class")
     sub.add_argument("--depth", type=int, default=BOOST_DEPTH)
-    sub.add_argument("--max-rows", type=int, default=MAX_ROWS, help="labelled rows a classifier is fitted on")
     sub = command("score", _score, "score hidden mods", "hidden", "models", "scored")
     sub.add_argument("--scaler", choices=("target", "training"), default="target")
     sub.add_argument("--min-rows", type=int, default=0)

@@ -10,7 +10,6 @@ from effortlens.operators.blame import label_bugs
 from effortlens.operators.classifier import (
     BOOST_DEPTH,
     BOOST_ROUNDS,
-    MAX_ROWS,
     fit_classifiers,
     predict_clusters,
     settled_models,
@@ -64,6 +63,12 @@ def training_rows(mods: DataFrame) -> DataFrame:
     return training_set(add_features(mods))
 
 
+def labelled_rows(training: DataFrame, mixture: DataFrame, low_high: DataFrame, k: int = CLUSTERS) -> DataFrame:
+    """The rows that classifiers learn from: raw features and the mixture's cluster."""
+    raw = training.select("file_ext", "hash", *FEATURES)
+    return drop_unclustered(assign_clusters(raw, mixture, low_high, k)).drop("posteriors")
+
+
 def fit_all(
     mods: DataFrame,
     k: int = CLUSTERS,
@@ -71,16 +76,13 @@ def fit_all(
     rounds: int = BOOST_ROUNDS,
     depth: int = BOOST_DEPTH,
     max_iterations: int = MAX_ITERATIONS,
-    max_rows: int = MAX_ROWS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mixture parameters, training ranges and classifiers for every trainable extension."""
     training = training_rows(mods)
     low_high = materialise(ranges(training), "ranges")
     mixture = materialise(fit_mixtures(training, k, max_iterations=max_iterations), "mixture")
-    raw = training.select("file_ext", "hash", *FEATURES)
-    clustered = drop_unclustered(assign_clusters(raw, mixture, low_high, k)).drop("posteriors")
-    labelled = materialise(clustered, "clustered")
-    fitted = fit_classifiers(labelled, kind, rounds=rounds, depth=depth, max_rows=max_rows)
+    labelled = materialise(labelled_rows(training, mixture, low_high, k), "clustered")
+    fitted = fit_classifiers(labelled, kind, rounds=rounds, depth=depth)
     return mixture, low_high, settled_models(fitted)
 
 

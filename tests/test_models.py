@@ -163,33 +163,6 @@ def test_classifiers_learn_products_of_features(spark, kind):
     assert cl.predict_clusters(frame, fitted.limit(0)).where("cluster_id is not null").count() == 0
 
 
-def test_a_fit_does_not_depend_on_the_order_and_is_bounded(spark):
-    frame = labelled_rows(spark)
-    fit = lambda df, **o: sorted(map(str, cl.fit_classifiers(df, rounds=3, depth=3, **o).collect()))
-    assert fit(frame) == fit(frame.orderBy(F.rand(3)).repartition(5))
-    small = cl.fit_classifiers(frame, rounds=3, depth=3, max_rows=200).collect()
-    assert [r.n_rows for r in small] == [900, 900] and all(r.accuracy > 0.5 for r in small)
-
-
-def test_a_tree_takes_the_best_split():
-    """Against every split of one feature, by hand."""
-    rng = np.random.default_rng(0)
-    binned = rng.integers(0, 12, (300, 2)).astype(np.int16)
-    g, h = rng.normal(0, 1, (300, 1)) + (binned[:, :1] > 4), np.ones((300, 1))
-    features, bins, leaves = cl._grow(binned, g, h, 1)
-
-    def gain(f, b):
-        right = binned[:, f] > b
-        if not 0 < right.sum() < 300:
-            return -math.inf
-        return sum(g[s].sum() ** 2 / (s.sum() + cl.SHRINKAGE) for s in (right, ~right))
-
-    best = max(((f, b) for f in range(2) for b in range(12)), key=lambda s: gain(*s))
-    assert (features[0], bins[0]) == best
-    right = binned[:, best[0]] > best[1]
-    assert leaves[0] == pytest.approx([g[s].sum() / (s.sum() + cl.SHRINKAGE) for s in (~right, right)])
-
-
 @pytest.mark.parametrize("kind", ["boosted", "forest"])
 def test_train_save_and_score(spark, sf_dir, kind):
     root = fresh_path(spark, "models")
