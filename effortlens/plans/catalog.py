@@ -21,6 +21,7 @@ from effortlens.operators import (
     refresh as rf,
     report as rp,
     scoring as sc,
+    silhouette as sl,
     statistics as st,
 )
 from effortlens.plans import checks as ck
@@ -876,6 +877,23 @@ def silhouette_positions(spark, sf_dir):
     return placed.select("label", "rank", "position", *rounded("silhouette"))
 
 
+_EUCLIDEAN_SQL = _SILHOUETTE_SQL.replace("sum(list_distance(a.v, b.v) * list_distance(a.v, b.v))", "sum(list_distance(a.v, b.v))")
+
+
+@register(_EUCLIDEAN_SQL + " SELECT vec_id, label, round(silhouette, 4) AS silhouette FROM si")
+def euclidean_silhouettes(spark, sf_dir):
+    """Silhouette of every labelled vector, plain Euclidean distance."""
+    found = sl.euclidean_silhouettes(_vectors(spark, sf_dir), _X, "label")
+    return found.select("vec_id", "label", *rounded("silhouette"))
+
+
+@register(_EUCLIDEAN_SQL + " SELECT count(*) AS n_rows, round(avg(silhouette), 4) AS silhouette FROM si")
+def euclidean_mean(spark, sf_dir):
+    """Mean silhouette over all vectors, plain Euclidean distance."""
+    found = sl.euclidean_mean(_vectors(spark, sf_dir), _X, "label", sample_rows=None)
+    return found.select("n_rows", *rounded("silhouette"))
+
+
 @register(
     f"WITH {ck.FEATURED} SELECT hash, file_name, {sql_rounded(FEATURES[3], FEATURES[5])} FROM fz"
 )

@@ -1,0 +1,66 @@
+import numpy as np
+import pytest
+
+from effortlens.operators import silhouette as sl
+
+NAMES = ["u", "v"]
+SCHEMA = "id long, cluster int, u double, v double, _row string"
+
+
+def points(n=120, seed=0):
+    rng = np.random.default_rng(seed)
+    label = rng.integers(0, 3, n)
+    x = rng.normal(0, 1, (n, 2)) + label[:, None] * [3, 1]
+    x[:10], label[:10] = x[0], label[0]
+    rows = [(i, int(c), *map(float, v), "clash") for i, (c, v) in enumerate(zip(label, x))]
+    return rows + [(n, 9, 50.0, 50.0, "alone"), (n + 1, None, 1.0, 1.0, "no label"), rows[20]]
+
+
+def brute(rows):
+    rows = [r for r in rows if r[1] is not None]
+    x, label = np.array([r[2:4] for r in rows]), np.array([r[1] for r in rows])
+    away = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    out = []
+    for i, r in enumerate(rows):
+        own = label == label[i]
+        if own.sum() == 1:
+            out.append((r[0], 0.0))
+            continue
+        a = away[i][own].sum() / (own.sum() - 1)
+        b = min(away[i][label == c].mean() for c in set(label.tolist()) - {r[1]})
+        out.append((r[0], (b - a) / max(a, b) if max(a, b) else 0.0))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [2_048, 17])
+def test_every_row_as_by_hand(spark, block, monkeypatch):
+    monkeypatch.setattr(sl, "BLOCK_ROWS", block)
+    rows = points()
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = sl.euclidean_silhouettes(frame, NAMES)
+    assert found.columns == [*frame.columns, "silhouette"]
+    got = sorted((r["id"], r["silhouette"]) for r in found.collect())
+    wanted = brute(rows)
+    assert [i for i, _ in got] == [i for i, _ in wanted]
+    assert [s for _, s in got] == pytest.approx([s for _, s in wanted], abs=1e-9)
+
+
+def test_a_sample_is_exact_and_its_error_holds(spark):
+    rows = points(900, 3)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    wanted = dict(brute(rows))
+    some = sl.euclidean_silhouettes(frame, NAMES, sample_rows=200).collect()
+    assert 140 < len(some) < 260
+    assert all(r["silhouette"] == pytest.approx(wanted[r["id"]], abs=1e-9) for r in some)
+    whole = sl.euclidean_mean(frame, NAMES, sample_rows=None).first()
+    part = sl.euclidean_mean(frame, NAMES, sample_rows=200).first()
+    mean = np.mean([s for _, s in brute(rows)])
+    assert whole["silhouette"] == pytest.approx(mean) and whole["error"] == 0 and whole["n_scored"] == whole["n_rows"] == 902
+    assert 0 < part["error"] < 0.1 and abs(part["silhouette"] - mean) < 2 * part["error"]
+
+
+def test_one_cluster_and_no_rows(spark):
+    one = spark.createDataFrame([(1, 0, 1.0, 2.0, ""), (2, 0, None, 3.0, "")], SCHEMA)
+    assert [r["silhouette"] for r in sl.euclidean_silhouettes(one, NAMES).collect()] == [0.0, 0.0]
+    assert sl.euclidean_silhouettes(one.limit(0), NAMES).collect() == []
+    assert tuple(sl.euclidean_mean(one.limit(0), NAMES).first()) == (0, 0, None, 0.0)
