@@ -33,6 +33,7 @@ from effortlens.sources import csv as csv_files
 from effortlens.sources import json as json_files
 from effortlens.sources import models as model_files
 from effortlens.sources import store as stores
+from effortlens.streaming import daily as stream_daily
 from effortlens.streaming import refresh as stream_refresh
 from effortlens.streaming import rollup as stream_rollup
 
@@ -224,6 +225,19 @@ def incremental_refresh(spark, sf_dir):
     return both.select("hash", "file_name", "number_lines_added", "dmm_unit_size")
 
 
+@register(
+    f"WITH {ck.CHART}, days AS (SELECT *, try_cast(day AS DATE) AS d FROM ch) SELECT Email, day AS date, file_ext, round(sum(mod_score), 4) AS score "
+    "FROM days WHERE d < (SELECT max(d) FROM days) - 7 GROUP BY 1, 2, 3"
+)
+def stream_daily_sums(spark, sf_dir):
+    """The score cube of the days that are closed: more than a week before the newest row of the stream."""
+    folder, target, checkpoint = (fresh_path(spark, n) for n in ("scored-csv", "daily", "daily-state"))
+    csv_files.write_csv(_charted(spark, sf_dir), folder)
+    stream = stream_rollup.read_scored_stream(spark, folder, maxFilesPerTrigger=100)
+    stream_daily.start_daily_rollup(stream, target, checkpoint).awaitTermination()
+    return stream_daily.read_daily(spark, target).select("Email", "date", "file_ext", *rounded("score"))
+
+
 @register(
     f"WITH {ck.EXT} SELECT substr(committed_date, 1, 7) AS committed_month, count(*) AS n_mods, "
     "cast(sum(number_lines_added) AS BIGINT) AS n_lines FROM fx GROUP BY 1"
