@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 # Texts worked on together; every array below is a small multiple of this.
 BLOCK_BYTES = 1 << 20
@@ -119,3 +121,15 @@ def gram_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray
         total += words[j : j + n]
     at = np.flatnonzero(rows[:n] == rows[k - 1 :])
     return mixed(total[at]), at
+
+
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is executed inside hands Python at most `rows` rows at once; for rows that are long lists or texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

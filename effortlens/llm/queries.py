@@ -220,7 +220,7 @@ def op10_temporal_url_lists(spark, sf_dir):
 @register()
 def op11_token_alignment(spark, sf_dir):
     own = alignment_tokenizers()
-    aligned = materialise(alignment.align(table(spark, sf_dir, "documents"), *own), "aligned-tokens")
+    aligned = alignment.aligned_table(table(spark, sf_dir, "documents"), *own)
     return alignment.summary(aligned, alignment.link_counts(aligned), *own)
 
 

@@ -1,4 +1,6 @@
 import hashlib
+import json
+import random
 from collections import Counter
 from functools import lru_cache
 
@@ -124,6 +126,27 @@ def test_no_rows_and_no_tokens(spark):
     assert plain(found(rows)) == plain([(1, 0, 0, 0, 0, 0, 0, ""), (None, 0, 0, 0, 0, 0, 0, "")])
 
 
+def test_ranks_give_the_tokens_of_the_file():
+    own = alignment.Tokenizers(*alignment_tokenizers(), alignment.ranked(alignment_tokenizers()[0]))
+    assert own.fast is not None
+    plain_file = alignment.Tokenizers(*alignment_tokenizers(), None)
+    # Every character, among letters, digits, signs and white space.
+    for first in range(0, 0x110000, 4096):
+        characters = [chr(c) for c in range(first, first + 4096) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}1{c} {c}.{c}" for c in characters)
+        assert all(own.encode_a(t) == plain_file.encode_a(t) for t in (text[:30_000], text[30_000:])), hex(first)
+    for seed in range(300):
+        rng = random.Random(seed)
+        text = "".join(rng.choices("aaabcdet'  \n\t.1é日ñth", k=200))
+        assert own.encode_a(text) == plain_file.encode_a(text)
+
+
+def test_a_file_whose_ranks_do_not_tell_its_merges():
+    content = json.loads(alignment_tokenizers()[0])
+    content["model"]["merges"] = content["model"]["merges"][1:]
+    assert alignment.ranked(json.dumps(content).encode()) is None
+
+
 def test_table_of_possible_links(spark, sf_dir):
     own = alignment.tokenizers(*alignment_tokenizers())
     bound = own.possible_links()
