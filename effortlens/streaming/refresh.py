@@ -3,24 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from effortlens.operators.refresh import MOD_KEY
 from effortlens.sources.store import ModStore
 
+# How long a mod that has arrived is remembered in the stream's state.
+MEMORY = "7 days"
+
 
 def read_mod_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_batch: int = 100) -> DataFrame:
     """Parquet files of mods as they arrive, with the schema of `like`."""
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def start_refresh(new: DataFrame, store: ModStore, checkpoint: str) -> StreamingQuery:
-    """Add each micro-batch's unseen mods to the store; a repeated batch adds nothing."""
+def first_arrivals(new: DataFrame, memory: str = MEMORY) -> DataFrame:
+    """Each mod once, however often it arrives within `memory`.
+
+    Time is that of arrival, so no commit is too old to be taken: a watermark on commit
+    dates would drop them. A repeat is the same mod with the same cells; what is kept
+    of it is its key and a hash. What comes again later than `memory` passes.
+    """
+    keys = [*MOD_KEY, "_cells"]
+    timed = new.withColumns({"_cells": F.xxhash64(*new.columns), "_arrived": F.current_timestamp()})
+    return timed.withWatermark("_arrived", memory).dropDuplicatesWithinWatermark(keys).select(*new.columns)
+
+
+def start_refresh(new: DataFrame, store: ModStore, checkpoint: str, memory: str = MEMORY) -> StreamingQuery:
+    """Add each micro-batch's unseen mods to the store; a repeated batch adds nothing.
+
+    Repeats within `memory` are dropped by the state; a batch of nothing else does not touch the store.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        store.refresh(batch)
+        held = batch.persist()
+        try:
+            if not held.isEmpty():
+                store.refresh(held)
+        finally:
+            held.unpersist()
 
     return (
-        new.writeStream.foreachBatch(add)
+        first_arrivals(new, memory)
+        .writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from effortlens.plans import fixtures, jobs
 from effortlens.session import fresh_path, materialise
@@ -145,6 +146,32 @@ def test_refresh_stream_adds_each_mod_once(spark, sf_dir, tmp_path):
     assert store.mods().count() == mods.count()
 
 
+def test_a_commit_that_comes_again_does_not_reach_the_store(spark, sf_dir, tmp_path, monkeypatch):
+    mods = materialise(fixtures.mods_with_ext(spark, sf_dir).limit(300), "mods")
+    undated = mods.limit(5).withColumn("committed_date", F.lit(None).cast("string")).withColumn("hash", F.lit("undated"))
+    old, new = mods.where("committed_date < '1996'"), mods.where("committed_date >= '1996'").unionByName(undated)
+    store = stores.ModStore(spark, str(tmp_path), "Demo")
+    store.create(old)
+    folder, added = fresh_path(spark, "new"), []
+    refresh = store.refresh
+    monkeypatch.setattr(store, "refresh", lambda batch: added.append(batch.count()) or refresh(batch))
+
+    def arrive(rows):
+        rows.write.mode("append").parquet(folder)
+        stream = stream_refresh.read_mod_stream(spark, folder, mods)
+        stream_refresh.start_refresh(stream, store, str(tmp_path / "state")).awaitTermination()
+
+    arrive(new.unionByName(new))
+    distinct = new.distinct().count()
+    assert added == [distinct]
+    arrive(new)
+    assert added == [distinct]
+    # Old commits are no late rows: they pass the state and meet the store.
+    arrive(old.unionByName(new))
+    assert added == [distinct, old.distinct().count()]
+    assert store.mods().count() == old.count() + distinct
+
+
 def test_shared_folder_is_refused_on_a_cluster_without_setting(monkeypatch):
     from effortlens import session
 
