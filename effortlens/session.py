@@ -101,17 +101,10 @@ SMALL_BYTES = 32 << 20
 def settle(df: DataFrame, name: str, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> tuple[DataFrame, bool]:
     """Compute a table that is expected to be small, once, and tell whether it is.
 
-    Rows and bytes are measured under a limit, never assumed. A small table
-    becomes a local one; a larger one is written to the shared folder.
+    It is written to the shared folder; rows and bytes of what was written are
+    measured under a limit, never assumed.
     """
-    own = not (df.storageLevel.useMemory or df.storageLevel.useDisk)
-    held = df.persist() if own else df
-    try:
-        size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-        n_rows, n_bytes = held.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-        if n_rows <= max_rows and n_bytes <= max_bytes:
-            return df.sparkSession.createDataFrame(held.collect(), df.schema), True
-        return materialise(held, name), False
-    finally:
-        if own:
-            held.unpersist()
+    table = materialise(df, name)
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n_rows, n_bytes = table.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return table, n_rows <= max_rows and n_bytes <= max_bytes

@@ -1,11 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from effortlens.operators import privacy
+from effortlens import session
+from effortlens.operators import joins, privacy
 from effortlens.operators.joins import join_lookup
 from effortlens.operators.ordering import running_positions
 from effortlens.plans import fixtures
-from effortlens.session import settle
+from effortlens.session import materialise, settle
 
 
 @pytest.mark.parametrize("max_rows", [1000, 5, 2, 1])
@@ -51,6 +52,34 @@ def test_a_hot_key_is_dealt_to_several_tasks(spark):
     assert joined.where("v = length(k)").count() == 30_000
 
 
+def test_heavy_keys_are_found_among_many_rare_ones(spark):
+    """Hot keys, the null key too, lie in buckets found, with what they fill; rare ones fill none."""
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 10 == 1, None).otherwise(F.col("id").cast("string"))
+    big = spark.range(0, 200_000, numPartitions=8).select(key.alias("k"), "id")
+    bucket_of = lambda k: spark.createDataFrame([(k,)], "k string").select(joins._bucket(["k"])).first()[0]
+    found = lambda frame, share: {r._bucket: r._parts for r in joins.heavy_buckets(frame, ["k"], share).collect()}
+    assert found(big, 10) == {bucket_of("hot"): 4}
+    assert set(found(big, 100)) == {bucket_of("hot"), bucket_of(None)}
+    assert found(big.limit(0), 100) == {}
+
+
+def test_a_large_lookup_writes_nothing_as_long_as_the_rows(spark, monkeypatch):
+    written = {}
+
+    def write(df, name, by=None):
+        written[name] = materialise(df, name, by)
+        return written[name]
+
+    monkeypatch.setattr(session, "materialise", write)
+    monkeypatch.setattr(joins, "materialise", write)
+    monkeypatch.setattr(joins, "BUCKETS", 64)
+    big = spark.range(3_000).select((F.col("id") % 700).alias("k"), "id")
+    lookup = big.select("k").distinct().withColumn("v", F.col("k") * 2)
+    joined = joins.join_lookup(big, lookup, ["k"], max_rows=50)
+    assert joined.where("v = 2 * k").count() == 3_000
+    assert {n: t.count() for n, t in written.items()} == {"lookup": 700, "key-buckets": 64}
+
+
 def test_two_keys(spark):
     big = spark.range(100).select((F.col("id") % 3).alias("a"), (F.col("id") % 5).alias("b"), "id")
     lookup = big.select("a", "b").distinct().withColumn("v", F.col("a") * 10 + F.col("b"))
