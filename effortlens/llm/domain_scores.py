@@ -1,10 +1,18 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, of a target corpus and of the background, are counted over all
-documents and share one vocabulary: every word of the corpus. A word's probability
-mixes its bigram and its unigram share, with one added to every unigram count. A
-document's score is the mean over its words of target loss minus background
-loss, in nats: the lower, the more like the target.
+Two bigram models, of a target corpus and of the background, which is what lies outside
+it, share one vocabulary: every word of the corpus, with its share in all documents. A
+word's probability mixes its share in the model's text with that; a pair's share falls
+back on the word's, the more the rarer its first word.
+
+The models are matched: of the longer of the two, documents are drawn by hash until
+both have the same number of words, as nearly as documents allow; the counts are scaled for the
+rest. A model of more text would know more words, and whatever is ordinary would look like it.
+Counts alone, scaled, do not mend that. A document's score is the mean over its words
+of target loss minus background loss, in nats: the lower, the more like the target.
+
+A document is never scored by its own words: they are taken off the counts of the model
+that has them.
 
 The models stay distributed: no table of words or pairs is ever in one place.
 Documents are dealt to groups; a group sends its distinct words and pairs with
@@ -30,23 +38,23 @@ from pyspark.sql import functions as F
 
 from effortlens.llm.arrays import blocks, gram_hashes, utf8, word_hashes
 from effortlens.llm.repeats import _gaps, _pack, _unpack
+from effortlens.session import materialise
 
-# Shares of the corpus under which a word falls into one class with all such words, and a pair counts as unseen: none.
-WORD_SHARE = 0.0
-PAIR_SHARE = 0.0
-# Weight of the bigram share in a word's probability.
-MIX = 0.5
+# Weight of the whole corpus's word shares in a word's probability.
+SHARED = 0.2
+# Occurrences of a first word at which a pair's own share and the fallback weigh the same.
+BACKING = 4.0
 # Distinct hashes gathered before they are summed.
 GATHER = 1 << 20
 # Groups and buckets per shuffle partition.
 GROUPS, BUCKETS = 2, 1
-# Class of all words under the share.
-REST = np.uint64(0)
 
-# `packed` holds word keys and their four counts, pair keys and their two.
+# `packed` holds word keys and their five counts, pair keys and their two.
 _ASKS = "bucket int, group int, n_words int, n_pairs int, packed binary"
-# `packed` holds the counts alone; `target`, `total` and `known` are the bucket's words and distinct words.
-_SUMS = "round int, bucket int, group int, n_words int, n_pairs int, target long, total long, known long, packed binary"
+# `packed` holds the counts alone.
+_SUMS = _ASKS
+# What a document is counted in.
+TARGET, BACKGROUND, NEITHER = 0, 1, 2
 _SCORES = "doc_id long, n_words long, score double"
 
 
@@ -91,28 +99,31 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found, np.stack([np.bincount(at, c, len(found)) for c in counts]).astype(np.int64)
 
 
-def _texts(group: pa.Table, rare: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(word, row, pair, place of the pair's first word) of a group, block by block."""
+def _texts(group: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(word, row, pair, place of the pair's first word) of a group, block by block; a row lies in one block."""
     data, offsets = utf8(group.column("text"))
     for first, last in blocks(offsets):
         part = offsets[first : last + 1]
         words, rows = word_hashes(data[part[0] : part[-1]], part - part[0])
-        if len(rare):
-            words = np.where(np.isin(words, rare), REST, words)
         pairs, at = gram_hashes(words, rows, 2)
         yield words, rows + first, pairs, at
 
 
-def _counted(group: pa.Table, rare: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, ...]:
-    """(words, their counts in target and all text, and the same as a pair's first word; pairs, their counts)."""
-    flags = group.column("in_target").to_numpy().astype(np.int64)
-    words, pairs = _Counts(4), _Counts(2)
-    for found, rows, both, at in _texts(group, rare):
-        target, leads = flags[rows], np.zeros(len(found), np.int64)
-        leads[at] = 1
-        words.add(found, target, np.ones_like(leads), target * leads, leads)
-        if with_pairs:
-            pairs.add(both, target[at], np.ones(len(at), np.int64))
+def _members(group: pa.Table) -> np.ndarray:
+    """1 where a row is counted, for either model."""
+    model = group.column("model").to_numpy()
+    return np.stack([model == TARGET, model == BACKGROUND]).astype(np.int64)
+
+
+def _counted(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """(words, their counts in either model, in both as a text's last word, and in all text; pairs, their counts)."""
+    members = _members(group)
+    words, pairs = _Counts(5), _Counts(2)
+    for found, rows, both, at in _texts(group):
+        mine, ends = members[:, rows], np.ones(len(found), np.int64)
+        ends[at] = 0
+        words.add(found, *mine, *(mine * ends), np.ones_like(ends))
+        pairs.add(both, *mine[:, at])
     return *words.sums(), *pairs.sums()
 
 
@@ -141,96 +152,80 @@ def _asks(name: int, counted: tuple[np.ndarray, ...], buckets: int) -> pa.Table:
     return _table(columns, _ASKS)
 
 
-def _ask_pass(buckets: int, with_pairs: bool):
+def _ask_pass(buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        return _asks(group.column("group")[0].as_py(), _counted(group, np.zeros(0, np.uint64), with_pairs), buckets)
-
-    return run
-
-
-def _ask_classes_pass(buckets: int, word_share: float):
-    def run(group: pa.Table, sums: pa.Table) -> pa.Table:
-        if not len(group):
-            return _empty(_ASKS)
-        return _asks(group.column("group")[0].as_py(), _counted(group, _rare(group, sums, word_share)), buckets)
-
-    return run
-
-
-def _sum_pass(groups: int, number: int):
-    """Sums of a bucket's words and pairs, to the groups that named them; the bucket's totals, to all groups."""
-
-    def run(table: pa.Table) -> pa.Table:
-        names, n_words, n_pairs, parts = [], [], [], []
-        for group, n, m, packed in zip(*(table.column(c).to_pylist() for c in ("group", "n_words", "n_pairs", "packed"))):
-            words, word_counts, pairs, pair_counts = _unpack(
-                packed, (np.uint64, n), (np.int64, 4 * n), (np.uint64, m), (np.int64, 2 * m)
-            )
-            names.append(group)
-            n_words.append(n)
-            n_pairs.append(m)
-            parts.append((np.cumsum(words, dtype=np.uint64), word_counts.reshape(4, n), np.cumsum(pairs, dtype=np.uint64), pair_counts.reshape(2, m)))
-        sums, places = [], []
-        for i in (0, 2):
-            found, at = np.unique(np.concatenate([p[i] for p in parts]), return_inverse=True)
-            counts = np.concatenate([p[i + 1] for p in parts], axis=1)
-            sums.append(np.stack([np.bincount(at, c, len(found)) for c in counts]).astype(np.int64))
-            places.append(np.split(at, np.cumsum([len(p[i]) for p in parts])[:-1]))
-            if i == 0:
-                known = int(np.count_nonzero(found != REST))
-        parts.clear()
-        bucket = table.column("bucket")[0].as_py()
-        target, total = sums[0][:2].sum(axis=1).tolist()
-        answers = {
-            group: (n, m, _pack(sums[0][:, w].reshape(-1), sums[1][:, p].reshape(-1)))
-            for group, n, m, w, p in zip(names, n_words, n_pairs, *places)
-        }
-        rows = [(number, bucket, g, *answers.get(g, (0, 0, b""))[:2], target, total, known, answers.get(g, (0, 0, b""))[2]) for g in range(groups)]
-        return _table([list(c) for c in zip(*rows)], _SUMS)
+        return _asks(group.column("group")[0].as_py(), _counted(group), buckets)
 
     return run
 
 
-def _read_sums(sums: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(sums of the group's words in order, of its pairs; words of the target and of all text; distinct words)."""
-    words, pairs, n, known = [np.zeros((4, 0), np.int64)], [np.zeros((2, 0), np.int64)], np.zeros(2), 0
-    columns = ("round", "n_words", "n_pairs", "target", "total", "known", "packed")
-    for own, a, b, target, total, distinct, packed in zip(*(sums.sort_by("bucket").column(c).to_pylist() for c in columns)):
-        if own != number:
-            continue
-        n += (target, total)
-        known += distinct
-        if a or b:
-            w, p = _unpack(packed, (np.int64, 4 * a), (np.int64, 2 * b))
-            words.append(w.reshape(4, a))
-            pairs.append(p.reshape(2, b))
-    return np.concatenate(words, axis=1), np.concatenate(pairs, axis=1), n, known
-
+def _sum_pass(table: pa.Table) -> pa.Table:
+    """Sums of a bucket's words and pairs, to the groups that named them."""
+    names, parts = [], []
+    for group, n, m, packed in zip(*(table.column(c).to_pylist() for c in ("group", "n_words", "n_pairs", "packed"))):
+        words, word_counts, pairs, pair_counts = _unpack(
+            packed, (np.uint64, n), (np.int64, 5 * n), (np.uint64, m), (np.int64, 2 * m)
+        )
+        names.append(group)
+        parts.append((np.cumsum(words, dtype=np.uint64), word_counts.reshape(5, n), np.cumsum(pairs, dtype=np.uint64), pair_counts.reshape(2, m)))
+    sums, places = [], []
+    for i in (0, 2):
+        found, at = np.unique(np.concatenate([p[i] for p in parts]), return_inverse=True)
+        counts = np.concatenate([p[i + 1] for p in parts], axis=1)
+        sums.append(np.stack([np.bincount(at, c, len(found)) for c in counts]).astype(np.int64))
+        places.append(np.split(at, np.cumsum([len(p[i]) for p in parts])[:-1]))
+    parts.clear()
+    bucket = table.column("bucket")[0].as_py()
+    rows = [
+        (bucket, group, len(w), len(p), _pack(sums[0][:, w].reshape(-1), sums[1][:, p].reshape(-1)))
+        for group, w, p in zip(names, *places)
+    ]
+    return _table([list(c) for c in zip(*rows)], _SUMS)
+
+
+def _read_sums(sums: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the group's words in order, and of its pairs."""
+    words, pairs = [np.zeros((5, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+    for a, b, packed in zip(*(sums.sort_by("bucket").column(c).to_pylist() for c in ("n_words", "n_pairs", "packed"))):
+        w, p = _unpack(packed, (np.int64, 5 * a), (np.int64, 2 * b))
+        words.append(w.reshape(5, a))
+        pairs.append(p.reshape(2, b))
+    return np.concatenate(words, axis=1), np.concatenate(pairs, axis=1)
+
+
+def _own(rows: np.ndarray, keys: np.ndarray, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, how often it occurs) of every occurrence of a key in a row."""
+    _, cell, n = np.unique(rows * n_keys + keys, return_inverse=True, return_counts=True)
+    return cell, n[cell]
+
+
+def _score_pass(sizes: tuple[int, int], n_all: int, shared: float, backing: float):
+    n = np.array(sizes)[:, None]
 
-def _rare(group: pa.Table, sums: pa.Table, word_share: float) -> np.ndarray:
-    """The group's words under the share, in order."""
-    words = _counted(group, np.zeros(0, np.uint64), with_pairs=False)[0]
-    counts, _, n, _ = _read_sums(sums, 0)
-    return words[counts[1] < max(1.0, word_share * n[1])]
-
-
-def _score_pass(word_share: float, pair_share: float, mix: float):
     def run(group: pa.Table, sums: pa.Table) -> pa.Table:
         if not len(group):
             return _empty(_SCORES)
-        rare = _rare(group, sums, word_share) if word_share > 0 else np.zeros(0, np.uint64)
-        words, _, pairs, _ = _counted(group, rare)
-        word_counts, pair_counts, n, known = _read_sums(sums, 1)
-        pair_counts *= pair_counts[1] >= max(1.0, pair_share * n[1])
+        words, _, pairs, _ = _counted(group)
+        word_sums, pair_sums = _read_sums(sums)
+        alone, leading, members = word_sums[:2], word_sums[:2] - word_sums[2:4], _members(group)
         n_words, loss = np.zeros(len(group), np.int64), np.zeros(len(group))
-        for found, rows, both, at in _texts(group, rare):
-            c = np.searchsorted(words, found)
-            p = (word_counts[:2, c] + 1) / (n[:, None] + known + 1)
+        for found, rows, both, at in _texts(group):
+            w = np.searchsorted(words, found)
+            length = np.bincount(rows, minlength=len(group))
+            cell, own = _own(rows, w, len(words))
+            # The model that has the row, and its size without the row.
+            mine = members[:, rows]
+            size = n - mine * length[rows]
+            whole = word_sums[4, w] / n_all
+            p = (1 - shared) * np.where(size > 0, (alone[:, w] - mine * own) / np.maximum(size, 1), whole) + shared * whole
             if len(at):
-                seen = pair_counts[:, np.searchsorted(pairs, both)]
-                before, alone = word_counts[2:, c[at]], p[:, at + 1]
-                p[:, at + 1] = np.where(before > 0, mix * (seen / np.maximum(before, 1)) + (1 - mix) * alone, alone)
-            n_words += np.bincount(rows, minlength=len(group))
+                own_leads = np.bincount(cell[at], minlength=int(cell.max()) + 1)[cell[at]]
+                pair = np.searchsorted(pairs, both)
+                matched = (size.min(axis=0) / np.maximum(size, 1))[:, at]
+                before = matched * (leading[:, w[at]] - mine[:, at] * own_leads)
+                seen = matched * (pair_sums[:, pair] - mine[:, at] * _own(rows[at], pair, len(pairs))[1])
+                p[:, at + 1] = (seen + backing * p[:, at + 1]) / (before + backing)
+            n_words += length
             loss += np.bincount(rows, np.log(p[1]) - np.log(p[0]), len(group))
         score = pa.array(loss / np.maximum(n_words, 1), mask=n_words == 0)
         return pa.table({"doc_id": group.column("doc_id"), "n_words": pa.array(n_words), "score": score})
@@ -238,34 +233,52 @@ def _score_pass(word_share: float, pair_share: float, mix: float):
     return run
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of every row."""
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        n = np.zeros(len(batch), np.int64)
+        for first, last in blocks(offsets):
+            part = offsets[first : last + 1]
+            n[first:last] = np.bincount(word_hashes(data[part[0] : part[-1]], part - part[0])[1], minlength=last - first)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("draw"), pa.array(n)], ["doc_id", "draw", "n"])
+
+
 def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, mix: float = MIX
+    docs: DataFrame, target_ids: DataFrame, shared: float = SHARED, backing: float = BACKING
 ) -> DataFrame:
     """(doc_id, n_words, score) for every row of `docs` (doc_id, text, any others).
 
     `target_ids` (doc_id) names the target's documents; ids that occur twice,
     are null, or have no document change nothing. A null or empty text, or one
-    without words, has a null score and no words. With an empty target its
-    model is even over the vocabulary. With a `word_share`, words that make up
-    less of the corpus are one class, at the price of another round of counts;
-    with a `pair_share`, pairs under it count as never seen.
+    without words, has a null score and no words. A repeated row is a document of its
+    own: the others' words stay in the models; rows equal in id and text are drawn together.
+    With an empty target, or nothing outside it, both models have the word shares of the whole corpus.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups, buckets = GROUPS * partitions, BUCKETS * partitions
     flags = target_ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("in_target", F.lit(True))
+    place = F.xxhash64("doc_id", F.xxhash64("text"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(
+        {"place": place, "draw": F.pmod(F.xxhash64(F.lit("draw"), place), F.lit(1 << 30)) / float(1 << 30)}
+    )
+    inside = F.coalesce("in_target", F.lit(False))
+    lengths = given.select("doc_id", "draw", "text").mapInArrow(_lengths, "doc_id long, draw double, n long")
+    drawn = lengths.groupBy("doc_id", "draw").agg(F.sum("n").alias("n")).join(flags, "doc_id", "left")
+    known = materialise(drawn.select("draw", "n", inside.alias("inside")), "lm-lengths")
+    both = [F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (F.col("inside"), ~F.col("inside"))]
+    long = known.agg(*both).first()
+    # Each document of the longer side is in its model if its hash falls into the share of the shorter.
+    shares = [min(long) / max(n, 1) for n in long]
+    kept = F.col("draw") < F.when(F.col("inside"), shares[0]).otherwise(shares[1])
+    sizes = tuple(known.where(kept).agg(*both).first())
     # The target may be as large as the corpus: a sorted join at every size, never a broadcast.
-    texts = docs.select("doc_id", "text").join(flags.hint("merge"), "doc_id", "left").select(
-        F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(groups)).cast("int").alias("group"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce("in_target", F.lit(False)).alias("in_target"),
+    texts = given.join(flags.hint("merge"), "doc_id", "left").withColumn("inside", inside).select(
+        F.pmod("place", F.lit(groups)).cast("int").alias("group"),
+        "doc_id",
+        F.when(~kept, NEITHER).when(F.col("inside"), TARGET).otherwise(BACKGROUND).alias("model"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     by_group = texts.groupBy("group")
-    summed = lambda asks, number: asks.groupBy("bucket").applyInArrow(_sum_pass(groups, number), _SUMS)
-    if word_share > 0:
-        first = summed(by_group.applyInArrow(_ask_pass(buckets, False), _ASKS), 0)
-        asks = by_group.cogroup(first.groupBy("group")).applyInArrow(_ask_classes_pass(buckets, word_share), _ASKS)
-        sums = first.unionByName(summed(asks, 1))
-    else:
-        sums = summed(by_group.applyInArrow(_ask_pass(buckets, True), _ASKS), 1)
-    return by_group.cogroup(sums.groupBy("group")).applyInArrow(_score_pass(word_share, pair_share, mix), _SCORES)
+    sums = by_group.applyInArrow(_ask_pass(buckets), _ASKS).groupBy("bucket").applyInArrow(_sum_pass, _SUMS)
+    return by_group.cogroup(sums.groupBy("group")).applyInArrow(_score_pass(sizes, sum(long), shared, backing), _SCORES)
