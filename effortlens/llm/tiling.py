@@ -5,7 +5,8 @@ a benchmark item are the seeds; an equi-join of seeds names the pairs worth a
 look. For such a pair, running Karp-Rabin hashes find the common word runs; the
 longest are marked first, no word twice, down to runs of `MIN_MATCH` words. The
 marked share of the item's words is the coverage. It does not depend on the
-order of the runs, so reordered passages count in full.
+order of the runs, so reordered passages count in full. An item too short for a
+seed is looked up whole: it covers the texts that have just its words.
 """
 
 from __future__ import annotations
@@ -34,6 +35,12 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def _short(words: np.ndarray, rows: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of the rows of fewer than `k` words, number of them for each row; longer rows have none)."""
+    sizes = np.bincount(rows, minlength=n)
+    return words[sizes[rows] < k], np.where(sizes < k, sizes, 0)
+
+
 def _item_grams(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,20 +48,22 @@ def _item_grams(k: int):
             words, rows = word_hashes(data, offsets)
             grams, at = gram_hashes(words, rows, k)
             n = len(batch)
+            short, lengths = _short(words, rows, n, k)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("item"),
                     pa.array(np.bincount(rows, minlength=n).astype(np.int32)),
                     _lists(grams.view(np.int64), np.bincount(rows[at], minlength=n), pa.int64()),
+                    _lists(short.view(np.int64), lengths, pa.int64()),
                 ],
-                ["item", "n_words", "grams"],
+                ["item", "n_words", "grams", "words"],
             )
 
     return run
 
 
 def _shared_grams(k: int, words_of_filter: np.ndarray):
-    """Rows with seeds that pass the filter: their word positions and hashes."""
+    """Rows with seeds that pass the filter: their word positions and hashes. Rows too short for a seed: their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words_of_filter
@@ -66,19 +75,23 @@ def _shared_grams(k: int, words_of_filter: np.ndarray):
                 grams, at = gram_hashes(words, rows, k)
                 bit = grams & np.uint64(FILTER_BITS - 1)
                 hit = np.flatnonzero((table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
-                if not len(hit):
+                n = last - first
+                short, lengths = _short(words, rows, n, k)
+                if not len(hit) and not len(short):
                     continue
                 row = rows[at[hit]]
-                begins = np.searchsorted(rows, np.arange(last - first))
-                found, sizes = np.unique(row, return_counts=True)
+                begins = np.searchsorted(rows, np.arange(n))
+                sizes = np.bincount(row, minlength=n)
+                found = np.flatnonzero(sizes + lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, last - first).take(pa.array(found)),
                         batch.column("doc").slice(first, last - first).take(pa.array(found)),
-                        _lists((at[hit] - begins[row]).astype(np.int32), sizes, pa.int32()),
-                        _lists(grams[hit].view(np.int64), sizes, pa.int64()),
+                        _lists((at[hit] - begins[row]).astype(np.int32), sizes[found], pa.int32()),
+                        _lists(grams[hit].view(np.int64), sizes[found], pa.int64()),
+                        _lists(short.view(np.int64), lengths[found], pa.int64()),
                     ],
-                    ["doc_id", "doc", "at", "grams"],
+                    ["doc_id", "doc", "at", "grams", "words"],
                 )
 
     return run
@@ -192,15 +205,16 @@ def contaminated(
     """(doc_id, item_id, n_words, n_matched, n_tiles, coverage) of every pair that reaches `coverage`.
 
     `docs` has (doc_id, text), `benchmark` (item_id, text); other columns are
-    ignored. Null and empty texts, and items of fewer than `k` words, match
-    nothing. Rows that repeat an id count as further texts of that id; the best
+    ignored. Null and empty texts match nothing. Items of fewer than `k` words
+    match texts of the same words in the same order and no others (a run of so
+    few words inside a longer text tells nothing). Rows that repeat an id count as further texts of that id; the best
     covered pair is returned once. Null ids are kept as null.
     """
     items = benchmark.select("item_id", F.md5(F.coalesce("text", F.lit(""))).alias("item"), "text")
     sequences = materialise(
         items.dropDuplicates(["item"]).select("item", "text").mapInArrow(
-            _item_grams(k), "item string, n_words int, grams array<long>"
-        ).where(F.size("grams") > 0),
+            _item_grams(k), "item string, n_words int, grams array<long>, words array<long>"
+        ).where(F.col("n_words") > 0),
         "tiling-items",
     )
     item_grams = sequences.select("item", "n_words", F.explode("grams").alias("gram"))
@@ -208,12 +222,12 @@ def contaminated(
 
     shared = materialise(
         docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("doc"), "text").mapInArrow(
-            _shared_grams(k, table), "doc_id long, doc string, at array<int>, grams array<long>"
+            _shared_grams(k, table), "doc_id long, doc string, at array<int>, grams array<long>, words array<long>"
         ),
         "tiling-documents",
     )
     # Equal texts are tiled once.
-    texts = shared.select("doc", "at", "grams").dropDuplicates(["doc"])
+    texts = shared.where(F.size("grams") > 0).select("doc", "at", "grams").dropDuplicates(["doc"])
     places = item_grams.groupBy("gram", "item").agg(F.count("*").alias("places"), F.first("n_words").alias("n_words"))
     seeds = texts.select("doc", F.explode(F.array_distinct("grams")).alias("gram"))
     pairs = (
@@ -234,7 +248,13 @@ def contaminated(
         .withColumn("coverage", F.col("n_matched") / F.col("n_words"))
         .where(F.col("coverage") >= coverage)
     )
-    named = best.join(items.select("item_id", "item").distinct(), "item").join(
+    brief = shared.where(F.size("words") > 0).select("doc", "words").dropDuplicates(["doc"]).join(
+        sequences.where(F.size("words") > 0).select("item", "n_words", "words"), "words"
+    )
+    whole = brief.select(
+        "doc", "item", F.col("n_words").alias("n_matched"), F.lit(1).alias("n_tiles"), "n_words", F.lit(1.0).alias("coverage")
+    )
+    named = best.unionByName(whole).join(items.select("item_id", "item").distinct(), "item").join(
         shared.select("doc_id", "doc").distinct(), "doc"
     )
     found = F.max(F.struct("coverage", "n_matched", "n_words", -F.col("n_tiles"))).alias("m")

@@ -44,6 +44,8 @@ def brute(docs, items, coverage=0.5, k=5):
     for doc, text in docs:
         for name, item in items:
             d, i = words(text), words(item)
+            if 0 < len(i) < k and d == i:
+                out[doc, name] = 1.0
             if len(i) >= k and len(d) >= k and set(zip(*[d[j:] for j in range(k)])) & set(zip(*[i[j:] for j in range(k)])):
                 share = slow_tiles(d, i, k) / len(i)
                 if share >= coverage:
@@ -65,6 +67,11 @@ def tables(spark):
             (740 + i, "".join(c if c == "ß" else c.upper() for c in ". ".join(w)), "", "", 0),
             (760 + i, " ".join(w[::-1]), "", "", 0),
         ]
+    # Short items: alike but for case and marks, inside a longer text, with a word more, one fewer, in another order.
+    short = ["Only four words, here!", "only four words here", "so only four words here it is", "only four words here too", "four words here", "four only words here"]
+    extra += [(780 + i, text, "", "", 0) for i, text in enumerate(short)]
+    items += [(12, "ok"), (13, "OK."), (11, "four words here")]
+    extra += [(790, "Ok", "", "", 0), (791, "ok ok", "", "", 0), (None, "ok", "", "", 0)]
     return documents(spark, extra=extra + [extra[0]]), spark.createDataFrame(items, ITEM)
 
 
@@ -77,6 +84,7 @@ def test_equals_the_slow_way(spark):
     wanted = brute([(r["doc_id"], r["text"]) for r in docs.where("length(text) < 5000").collect()], [tuple(r) for r in items.collect()])
     got = found(docs, items)
     assert got == wanted
+    assert {(d, i) for d, i, _ in got if i in (11, 12, 13)} == {(780, 11), (781, 11), (784, 11), (790, 12), (790, 13), (None, 12), (None, 13)}
     assert {700, 740} <= {d for d, _, _ in got} and 760 not in {d for d, _, _ in got}
     assert found(clashing(docs), clashing(items)) == wanted
 
