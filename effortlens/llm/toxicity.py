@@ -179,7 +179,8 @@ def fit(
     """Fit on documents whose id is labelled and in the training fold.
 
     A document with several labels is toxic if one of them says so; null labels
-    and labels without a document are ignored.
+    and labels without a document are ignored. Of several texts under an id one
+    is learnt from, that with the least hash.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & in_training())
@@ -188,8 +189,13 @@ def fit(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(train_rows)
     )
-    # `chosen` has train_rows rows of two numbers at most.
-    sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")
+    # `chosen` has train_rows rows of two numbers at most, and so has the sample, however many rows share an id.
+    text = F.coalesce("text", F.lit(""))
+    one_text = F.min(F.struct(F.xxhash64(text), text.alias("text")))["text"].alias("text")
+    sample = materialise(
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(one_text).select("text", "toxic"),
+        "toxicity-sample",
+    )
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     n, p = float(totals["n"]), float(totals["p"])
     counts = materialise(

@@ -52,6 +52,19 @@ def test_labels_of_held_out_rows_change_nothing(spark, sf_dir):
     assert a == b
 
 
+def test_an_id_of_many_rows_gives_one_row_to_learn_from(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 8) + (" vermin" if i % 2 else " tables"), "", "", 0) for i in range(60)]
+    crowd = [(1, prose(rng, 8), "", "", 0) for _ in range(3000)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], LABEL)
+    seen = []
+    learn = toxicity.fit_machine
+    monkeypatch.setattr(toxicity, "fit_machine", lambda terms, learnt, known, *a: seen.append(len(learnt)) or learn(terms, learnt, known, *a))
+    for extra in (rows + crowd, rows + crowd[::-1]):
+        toxicity.fit(spark.createDataFrame(extra, DOC).repartition(7), labels, train_rows=20)
+    assert seen == [20, 20]
+
+
 def test_nulls_ties_clashes_and_no_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (4, None, None), (7, 1, 0), (None, 1, 1), (99_999, 1, 1), (10, 1, 1)], LABEL)
