@@ -38,9 +38,6 @@ PASSING = 0.001
 DROP = 12.0
 # Weight, in pairs, of a character's own probability in that of a pair.
 PRIOR = 10.0
-# Strings of either label that the models are fitted on, at most, and documents the ordinary ones come from.
-SAMPLE_STRINGS = 20_000
-SAMPLE_DOCS = 2_000
 
 _SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
@@ -183,10 +180,20 @@ def stretches(value: Column, model: list[float], threshold: float) -> Column:
 
 
 def fit_threshold(ordinary: DataFrame, model: list[float]) -> float:
-    """The score that one in 1 / PASSING of the ordinary strings (value) passes, THRESHOLD at least."""
-    best = F.array_max(F.transform(stretches(F.col("value"), model, 0.0), lambda s: s["score"]))
-    limit = ordinary.agg(F.percentile(F.coalesce(best, F.lit(0.0)), 1 - PASSING)).first()[0]
-    return max(THRESHOLD, limit or 0.0)
+    """The score that one in 1 / PASSING of the ordinary strings (value) passes, THRESHOLD at least.
+
+    The exact percentile, between the two scores around it; only the highest one in 1 / PASSING are sorted out.
+    """
+    best = F.coalesce(F.array_max(F.transform(stretches(F.col("value"), model, 0.0), lambda s: s["score"])), F.lit(0.0))
+    n = ordinary.count()
+    if not n:
+        return THRESHOLD
+    place = (n - 1) * (1 - PASSING)
+    low = math.floor(place)
+    highest = ordinary.select(best.alias("score")).orderBy(F.desc("score")).limit(n - low)
+    around = [r["score"] for r in highest.orderBy("score").limit(2).collect()]
+    limit = around[0] if place == low else (low + 1 - place) * around[0] + (place - low) * around[-1]
+    return max(THRESHOLD, limit)
 
 
 def _beside(candidate: Column, base: Column) -> Column:
@@ -255,42 +262,21 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def labelled_samples(
-    docs: DataFrame, scanned: DataFrame, strings: int = SAMPLE_STRINGS, sample_docs: int = SAMPLE_DOCS
-) -> DataFrame:
-    """(value, secret): strings that the fixed patterns find, against ordinary ones of documents without any."""
-    by_hash = (F.xxhash64("value"), "value")
-    random = (
-        scanned.where(F.size("base") > 0)
-        .select(F.explode(F.transform("base", lambda s: s["value"])).alias("value"))
-        .distinct()
-        .orderBy(*by_hash)
-        .limit(strings)
-        .withColumn("secret", F.lit(1))
-    )
-    plain = (
-        scanned.where((F.size("base") == 0) & F.col("doc_id").isNotNull())
-        .select("doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_docs)
-        .distinct()
-    )
+def labelled_samples(docs: DataFrame, scanned: DataFrame, base: Column | None = None) -> DataFrame:
+    """(value, secret): every string that the fixed patterns find, against every ordinary one of documents without any, each once.
+
+    `base` are the base spans of `docs`, where they are known; else they are looked for.
+    """
+    random = scanned.where(F.size("base") > 0).select(F.explode(F.transform("base", lambda s: s["value"])).alias("value"))
     text = F.coalesce("text", F.lit(""))
-    ordinary = (
-        # `plain` has sample_docs ids at most.
-        docs.select("doc_id", text.alias("text")).join(F.broadcast(plain), "doc_id", "left_semi")
-        .select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(1))).alias("value"))
-        .distinct()
-        .orderBy(*by_hash)
-        .limit(strings)
-        .withColumn("secret", F.lit(0))
-    )
-    return random.unionByName(ordinary)
+    plain = docs.where(F.size(base_spans(text) if base is None else base) == 0)
+    ordinary = plain.select(F.explode(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(1))).alias("value"))
+    return random.distinct().withColumn("secret", F.lit(1)).unionByName(ordinary.distinct().withColumn("secret", F.lit(0)))
 
 
-def learn(docs: DataFrame, scanned: DataFrame) -> tuple[list[float], float]:
+def learn(docs: DataFrame, scanned: DataFrame, base: Column | None = None) -> tuple[list[float], float]:
     """(model, threshold); a fifth of the ordinary strings, by hash, is held out of the model for the threshold."""
-    samples = materialise(labelled_samples(docs, scanned), "secrets-samples")
+    samples = materialise(labelled_samples(docs, scanned, base), "secrets-samples")
     held = (F.col("secret") == 0) & (F.pmod(F.xxhash64("value"), F.lit(5)) == 0)
     model = fit(samples.where(~held))
     return model, fit_threshold(samples.where(held), model)
@@ -346,8 +332,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text = F.coalesce("text", F.lit(""))
     held = materialise(docs.select(given, text.alias("text")).select("row", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("candidates")), "secrets-rows")
-    texts = held.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    model, threshold = learn(texts, held.select(F.col("row.doc_id").alias("doc_id"), "base"))
+    model, threshold = learn(held.select(F.col("row.text").alias("text"), "base"), held.select("base"), F.col("base"))
     spans = all_spans(F.col("base"), F.col("candidates"), model, threshold)
     own = F.col("row.text")
     clean = F.when(own.isNotNull(), _bound(spans, lambda found: redact(own, found)))

@@ -186,3 +186,21 @@ def test_whole_table(spark, sf_dir):
         assert r["base_sha256"] == hashlib.sha256(",".join(text).encode()).hexdigest()
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[0] == k for s in base) for k in secrets.KINDS[:3]]
         assert set(text) <= set(r["spans"].split(","))
+
+
+def test_models_learn_from_every_document(spark):
+    """Ordinary strings of many documents, all of them; the threshold is their exact percentile."""
+    docs = spark.range(3_000).selectExpr("id as doc_id", "concat('word_', id div 2, '_', hex(id div 2), ' secret = abcdef', id) as text").where("doc_id >= 30")
+    plain = spark.range(9_000).selectExpr("10000 + id as doc_id", "concat('alpha_beta_', id, ' gamma_delta_', id * 7, ' gamma_delta_0') as text")
+    both = docs.unionByName(plain)
+    samples = secrets.labelled_samples(both, secrets.scan(both))
+    counts = {r["secret"]: r["count"] for r in samples.groupBy("secret").count().collect()}
+    values = {f"alpha_beta_{i}" for i in range(9_000)} | {f"gamma_delta_{7 * i}" for i in range(9_000)}
+    assert counts == {1: 2_970, 0: len(values)}
+
+    model = [0.0] * len(secrets.ALPHABET) ** 2
+    model[secrets.ALPHABET.index("x") * len(secrets.ALPHABET) + secrets.ALPHABET.index("x")] = 1.0
+    lengths = spark.range(2_500).selectExpr("repeat('x', cast(1 + if(id < 40, 20 + id, 1) as int)) as value")
+    wanted = lengths.selectExpr(f"percentile(length(value) - 1, {1 - secrets.PASSING}) as p").first()["p"]
+    assert secrets.fit_threshold(lengths, model) == max(secrets.THRESHOLD, wanted) > secrets.THRESHOLD
+    assert secrets.fit_threshold(lengths.limit(0), model) == secrets.THRESHOLD
