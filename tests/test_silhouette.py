@@ -64,3 +64,13 @@ def test_one_cluster_and_no_rows(spark):
     assert [r["silhouette"] for r in sl.euclidean_silhouettes(one, NAMES).collect()] == [0.0, 0.0]
     assert sl.euclidean_silhouettes(one.limit(0), NAMES).collect() == []
     assert tuple(sl.euclidean_mean(one.limit(0), NAMES).first()) == (0, 0, None, 0.0)
+
+
+def test_distances_keep_their_digits_however_close_or_far_the_rows_lie():
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(700, 8)) * 100 + 1_000
+    near = rows[:300] + rng.normal(size=(300, 8)) * 1e-7
+    points = np.vstack([rows[:50], near[:200], rng.normal(size=(50, 8))])
+    wanted = np.sqrt(((rows[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    found = sl._distances(rows, points)
+    assert np.allclose(found, wanted, rtol=1e-11, atol=0) and (found[np.arange(50), np.arange(50)] == 0).all()
