@@ -142,11 +142,13 @@ def tokenizers(a: bytes, b: bytes, ranks: dict[bytes, int] | None = None) -> Tok
 
 def common_cuts(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token counts of A and of B in every group, from the byte sizes of the tokens of one text."""
-    a_index = dict(zip(np.cumsum(a_sizes).tolist(), range(1, len(a_sizes) + 1)))
-    b_index = dict(zip(np.cumsum(b_sizes).tolist(), range(1, len(b_sizes) + 1)))
-    ends = sorted(a_index.keys() & b_index.keys())
-    cuts = (np.fromiter(map(index.__getitem__, ends), np.int32, len(ends)) for index in (a_index, b_index))
-    return tuple(np.diff(c, prepend=np.int32(0)) for c in cuts)
+    ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    # The dictionaries from end to number of tokens, as arrays with a place per byte offset; 0 where no token ends.
+    index = np.zeros((2, max((int(e[-1]) + 1 for e in ends if len(e)), default=0)), np.int32)
+    for own, at in zip(index, ends):
+        own[at] = np.arange(1, len(at) + 1)
+    common = np.flatnonzero(index.all(axis=0))
+    return tuple(np.diff(own[common], prepend=np.int32(0)) for own in index)
 
 
 def _lists(lists: list) -> pa.Array:
