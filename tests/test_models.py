@@ -193,3 +193,21 @@ def test_train_save_and_score(spark, sf_dir, kind):
     trained = jobs.score(mods, root, scaler="training").agg(F.avg("mod_score")).first()[0]
     assert trained > 0
     assert jobs.score(mods, root, min_rows=10_000).count() == 0
+
+
+def test_mixture_passes_take_blocks_of_one_extension(spark, blobs, monkeypatch):
+    """A pass meets blocks, not rows; every row of an extension is in one of its blocks, null extensions in none."""
+    frame, points = blobs
+    monkeypatch.setattr(mx, "BLOCK_ROWS", 64)
+    none = frame.limit(3).withColumn("file_ext", F.lit(None).cast("string"))
+    rows = mx._blocks(frame.unionByName(none).coalesce(2)).collect()
+    assert len(rows) < 40
+    for ext, x in points.items():
+        cells = [np.frombuffer(r.cells).reshape(6, -1) for r in rows if r.file_ext == ext]
+        assert all(c.shape[1] <= 64 for c in cells)
+        scaled = (x - x.min(axis=0)) / (x.max(axis=0) - x.min(axis=0))
+        assert np.sort(np.concatenate(cells, axis=1)[0]) == pytest.approx(np.sort(scaled[:, 0]), abs=1e-12)
+    assert {r.file_ext for r in rows} == set(points)
+    wanted, found = (mx.fit_mixtures(f, k=3, max_iterations=4).orderBy("file_ext", "cluster").collect() for f in (frame, frame.repartition(5)))
+    for a, b in zip(wanted, found, strict=True):
+        assert a["mean"] == pytest.approx(b["mean"], abs=1e-9) and a["covariance"] == pytest.approx(b["covariance"], abs=1e-9)
