@@ -66,3 +66,24 @@ def test_unit_rows(spark):
     frame = spark.createDataFrame([(3.0, 4.0), (0.0, 0.0)], "a double, b double")
     rows = ex.normalise_rows(frame, ["a", "b"]).collect()
     assert sorted(map(tuple, rows)) == [(0.0, 0.0), (0.6, 0.8)]
+
+
+def test_sweep_equals_clusterings_one_by_one(spark, monkeypatch):
+    random = np.random.default_rng(8)
+    x = np.vstack([random.normal(1000 + 6 * c, 1.0, (300, 3)) for c in range(4)])
+    x[:50] = x[0]
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in x], "x0 double, x1 double, x2 double").coalesce(3)
+    single, fits = ex.fit_kmeans, []
+    monkeypatch.setattr(ex, "fit_kmeans", lambda *args, **options: fits.append(1) or single(*args, **options))
+    found = ex.silhouette_sweep(frame, NAMES, (2, 3, 4, 8)).orderBy("k").collect()
+    # The steps of all numbers of clusters are passes they share.
+    assert not fits
+    for row in found:
+        labelled, _ = ex.kmeans(frame, NAMES, k=row.k, init="random", max_iterations=ex.SWEEP_ITERATIONS)
+        assert row.silhouette == pytest.approx(ex.silhouette_mean(labelled, NAMES), abs=1e-9)
+
+
+def test_sweep_needs_two_clusters(spark):
+    alike = spark.createDataFrame([(1.0, 2.0, 3.0)] * 9, "x0 double, x1 double, x2 double")
+    with pytest.raises(Exception):
+        ex.silhouette_sweep(alike, NAMES, (2,)).collect()
