@@ -15,6 +15,15 @@ from effortlens.session import materialise
 
 # Names a row inside a stage.
 ROW = "_row"
+# Rows that Python gets at once: whole texts, in the memory of the executor and of its workers.
+BATCH_ROWS = 512
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Limits the batches of the session, as what a stage returns is run after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS)
 
 
 def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -25,12 +34,14 @@ def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5, as fitted on the labels of these documents."""
+    _small_batches(spark)
     machine = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score(machine, F.col("text")) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group one row: that with the smallest doc_id, rows without one last; of rows alike in that, any."""
+    _small_batches(spark)
     rows, texts = _numbered(docs, "near-duplicates")
     found = simhash.near_duplicates(texts).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
@@ -40,6 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text covers no benchmark item."""
+    _small_batches(spark)
     rows, texts = _numbered(docs, "decontamination")
     found = tiling.contaminated(texts, queries.table(spark, sf_dir, "benchmark"))
     return rows.join(found.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_anti").select(*docs.columns)
@@ -53,6 +65,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with all columns, their token ids, and whether decoding these gives the text again."""
+    _small_batches(spark)
     encoded = bpe.encode(docs, *queries.tokenizer(), keep=docs.columns)
     whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return encoded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), whole.alias("round_trip"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,8 @@ _HASH_MASK = (1 << 30) - 1
 _PREFIXES = range(4, 11)
 # Length classes of a text: bit length of its number of different words.
 _LENGTHS = 24
+# Words remembered with their terms by a task, at most.
+KNOWN_WORDS = 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -61,7 +64,7 @@ class Machine:
     def features(self, text: str | None, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """(places, values) of the kept terms in a text. `known` remembers words seen before."""
         words, counts = words_of(text), {}
-        if len(known) > 400_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         for word in words:
             places = known.get(word)
@@ -224,8 +227,9 @@ def score(machine: Machine, text: Column) -> Column:
     """Probability of label 1 for a text column; null counts as empty."""
 
     @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, tuple[int, ...]] = {}
-        return pa.array([machine.probability(*machine.features(t, known)) for t in texts.to_pylist()], pa.float64())
+        for texts in batches:
+            yield pa.array([machine.probability(*machine.features(t, known)) for t in texts.to_pylist()], pa.float64())
 
     return run(text)

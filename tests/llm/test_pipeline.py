@@ -96,3 +96,17 @@ def test_rows_without_and_with_shared_ids(spark, tmp_path):
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert found[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars", "ids", "n_tokens", "round_trip"}
     assert plain([(r["doc_id"], r["text"]) for r in found]) == plain([(1, a), (2, c), (2, d), (None, e)])
+
+
+def test_stages_hand_python_few_rows_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    try:
+        for given, wanted in (("10000", 512), ("0", 512), ("100", 100)):
+            spark.conf.set(name, given)
+            found = corpus_pipeline.encode(spark, docs, "")
+            assert int(spark.conf.get(name)) == wanted
+        assert [r.round_trip for r in found.orderBy("doc_id").collect()] == [True, True]
+    finally:
+        spark.conf.set(name, before)
