@@ -212,7 +212,7 @@ def newest_first(spark, sf_dir):
 
 def _old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """What a store holds after its first run, and what a second run brings: overlapping years."""
-    mods = materialise(fx.mods_with_ext(spark, sf_dir), "mods")
+    mods = materialise(fx.mods_with_ext(spark, sf_dir), "mods", compression="zstd")
     year = F.substring("committed_date", 1, 4)
     return mods.where(year < "1998"), mods.where(year >= "1997")
 
