@@ -1133,7 +1133,7 @@ def stream_refresh_store(spark, sf_dir):
     store = stores.ModStore(spark, fresh_path(spark, "store"), "Demo")
     store.create(old)
     folder, checkpoint = fresh_path(spark, "new-mods"), fresh_path(spark, "refresh-state")
-    new.write.parquet(folder)
+    new.write.parquet(folder, compression="zstd")
     stream = stream_refresh.read_mod_stream(spark, folder, new)
     stream_refresh.start_refresh(stream, store, checkpoint).awaitTermination()
     return store.mods().groupBy("committed_month").agg(
