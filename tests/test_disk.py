@@ -3,10 +3,14 @@
 import glob
 import os
 
+from effortlens.operators import statistics as st
 from effortlens.plans import catalog as ct
 from effortlens.plans import fixtures as fx
+from effortlens.plans import jobs
+from effortlens.schema import FEATURES
 from effortlens.sources import csv as csv_files
 from effortlens.sources import json as json_files
+from effortlens.sources import store as stores
 
 NUMBER = 200
 
@@ -61,3 +65,15 @@ def test_compressed_text_files_come_back(spark, tmp_path):
     given = sorted(map(str, mods.select("hash", "file_name", "merge_commit", "dmm_unit_size").collect()))
     for back in (json_files.read_mods_json(spark, packed, lines=True), csv_files.read_mods_csv(spark, cells)):
         assert sorted(map(str, back.select("hash", "file_name", "merge_commit", "dmm_unit_size").collect())) == given
+
+
+def test_parts_are_joined_last(spark, tmp_path):
+    folder = _tables(spark, str(tmp_path))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fx.mods(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join Inner" in line]
+        assert "p_partkey" in joins[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
