@@ -258,10 +258,10 @@ def mod_store(spark, sf_dir):
 )
 def blame_store(spark, sf_dir):
     """Blame rows stored twice come back once."""
-    rows = fx.blame(spark, sf_dir)
+    rows = materialise(fx.blame(spark, sf_dir), "blame", compression="zstd")
     store = stores.ModStore(spark, fresh_path(spark, "store"), "Demo")
-    rows.write.parquet(store.blame_path)
-    rows.write.mode("append").parquet(store.blame_path)
+    rows.write.parquet(store.blame_path, compression="zstd")
+    rows.write.mode("append").parquet(store.blame_path, compression="zstd")
     return store.blame()
 
 

@@ -77,3 +77,12 @@ def test_parts_are_joined_last(spark, tmp_path):
         assert "p_partkey" in joins[0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_blame_is_worked_out_once(spark, tmp_path, monkeypatch):
+    folder, written = _tables(spark, str(tmp_path)), []
+    monkeypatch.setattr(ct, "materialise", lambda df, name, whole=ct.materialise, **o: written.append(name) or whole(df, name, **o))
+    found = ct.QUERIES["blame_store"](spark, folder)
+    assert written == ["blame"]
+    given = [tuple(r) for r in fx.blame(spark, folder).collect()]
+    assert given and sorted(map(tuple, found.collect())) == sorted(given)
