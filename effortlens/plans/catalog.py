@@ -854,8 +854,8 @@ def two_repositories(spark, sf_dir):
 def scores_per_extension(spark, sf_dir):
     """All extensions written in one go, a folder each, and read back."""
     path = fresh_path(spark, "scores")
-    # All columns of the mods are scored and written; the parameters need few of them.
-    stores.save_scores(_scored(_clustered(spark, sf_dir), _clustered_table(spark, sf_dir)), path)
+    # All columns of the mods are scored and written.
+    stores.save_scores(_scored(materialise(_clustered(spark, sf_dir), "clustered", compression="zstd")), path)
     found = stores.load_scores(spark, path).groupBy("file_ext")
     return found.agg(F.count("*").alias("n_rows"), F.round(F.sum("mod_score"), 2).alias("score"))
 

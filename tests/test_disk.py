@@ -86,3 +86,16 @@ def test_blame_is_worked_out_once(spark, tmp_path, monkeypatch):
     assert written == ["blame"]
     given = [tuple(r) for r in fx.blame(spark, folder).collect()]
     assert given and sorted(map(tuple, found.collect())) == sorted(given)
+
+
+def test_common_extensions_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    frame = spark.range(1000).selectExpr("if(id < 990, 'py', if(id < 993, null, concat('x', id))) as file_ext", "id").repartition(3)
+    hinted, path = [], str(tmp_path / "scores")
+    monkeypatch.setattr(type(frame), "hint", lambda df, *a, whole=type(frame).hint: hinted.append(df.count()) or whole(df, *a))
+    stores.save_scores(frame, path)
+    assert hinted == [10]
+    key = lambda r: (r["id"], r["file_ext"])
+    assert sorted(map(key, stores.load_scores(spark, path).collect())) == sorted(map(key, frame.collect()))
+    hinted.clear()
+    stores.save_scores(frame.where("id < 990"), path)
+    assert hinted == [] and stores.load_scores(spark, path).count() == 990
