@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from effortlens.operators import explore as ex
+from effortlens.session import BLOCKS_AT_ONCE, few_at_once
 
 NAMES = ["x0", "x1", "x2"]
 
@@ -87,3 +89,29 @@ def test_sweep_needs_two_clusters(spark):
     alike = spark.createDataFrame([(1.0, 2.0, 3.0)] * 9, "x0 double, x1 double, x2 double")
     with pytest.raises(Exception):
         ex.silhouette_sweep(alike, NAMES, (2,)).collect()
+
+
+def test_the_sweep_starts_from_the_centres_of_sparks_estimator_without_fitting_it(spark, tmp_path, monkeypatch):
+    drawn = spark.range(4000).selectExpr("rand(1) * 7 as f0", "rand(2) as f1", "cast(id % 3 as double) as f2").repartition(5)
+    drawn.write.parquet(str(tmp_path / "rows"))
+    frame, names = spark.read.parquet(str(tmp_path / "rows")), ["f0", "f1", "f2"]
+    vectors = ex.vector_of(frame, names).select("vector")
+    fit = lambda k: ex.KMeans(k=k, initMode="random", maxIter=0, seed=ex.SWEEP_SEED, featuresCol="vector", solver="row").fit(vectors)
+    known = {k: np.array(fit(k).clusterCenters()) for k in (2, 5)}
+    monkeypatch.setattr(ex, "KMeans", None)
+    found = ex._starts(frame, names, (2, 5))
+    assert all(np.array_equal(found[k], known[k]) for k in known)
+    assert ex.silhouette_sweep(frame, names, (2, 5)).count() == 2
+
+
+def test_python_gets_few_blocks_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], ["n"])
+
+    with few_at_once(spark):
+        most = spark.range(100).coalesce(1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+    assert most == BLOCKS_AT_ONCE and spark.conf.get(name) == before
