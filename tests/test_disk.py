@@ -99,3 +99,16 @@ def test_common_extensions_are_written_without_a_shuffle(spark, tmp_path, monkey
     hinted.clear()
     stores.save_scores(frame.where("id < 990"), path)
     assert hinted == [] and stores.load_scores(spark, path).count() == 990
+
+
+def test_training_set_reads_the_mods_once_and_shuffles_rows_once(spark, monkeypatch):
+    rows = [("py", f"h{i}", "a", True, f"f{i}.py", *[float((i * p) % 17) for p in (1, 2, 3, 5, 7, 11)]) for i in range(80)]
+    names = ["file_ext", "hash", "Author", "language_supported", "file_name", *FEATURES]
+    frame = spark.createDataFrame(rows, names)
+    hinted, written = [], []
+    monkeypatch.setattr(type(frame), "hint", lambda df, *a, whole=type(frame).hint: hinted.append(a) or whole(df, *a))
+    monkeypatch.setattr(st, "materialise", lambda df, name, whole=st.materialise, **o: written.append(name) or whole(df, name, **o))
+    found = st.training_set(frame)
+    assert hinted == [("rebalance", "file_ext")] and written == ["features", "training"]
+    assert found.count() == 80 and found.agg({"scaled_total_changed": "max"}).first()[0] == 1.0
+    assert not any("LocalTableScan" in line or "ExistingRDD" in line for line in found._jdf.queryExecution().executedPlan().toString().splitlines())
