@@ -1092,11 +1092,11 @@ def model_registry(spark, sf_dir):
 def score_file(spark, sf_dir):
     """Train, anonymise to CSV, score the file, put e-mails back: every mod, its e-mail, and scores that add up."""
     root, source, target = (fresh_path(spark, n) for n in ("models", "hidden-csv", "scored-csv"))
-    mods = materialise(fx.mods_with_ext(spark, sf_dir), "mods")
+    mods = materialise(fx.mods_with_ext(spark, sf_dir), "mods", compression="zstd")
     jobs.train(mods, root)
     hidden, emails = pv.anonymise(mods)
-    csv_files.write_csv(hidden, source)
-    jobs.score_file(spark, source, target, root)
+    csv_files.write_csv(hidden, source, compression="gzip")
+    jobs.score_file(spark, source, target, root, compression="gzip")
     found = csv_files.read_text_csv(spark, target)
     restored = pv.de_anonymise(found, materialise(emails, "emails"))
     p, value, score = (F.col(c).cast("double") for c in _SCORES)

@@ -112,3 +112,13 @@ def test_training_set_reads_the_mods_once_and_shuffles_rows_once(spark, monkeypa
     assert hinted == [("rebalance", "file_ext")] and written == ["features", "training"]
     assert found.count() == 80 and found.agg({"scaled_total_changed": "max"}).first()[0] == 1.0
     assert not any("LocalTableScan" in line or "ExistingRDD" in line for line in found._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_scored_files_are_compressed(spark, tmp_path, monkeypatch):
+    mods = fx.mods_with_ext(spark, _tables(spark, str(tmp_path)))
+    monkeypatch.setattr(jobs, "score", lambda read, root: read)
+    csv_files.write_csv(mods, str(tmp_path / "in"))
+    jobs.score_file(spark, str(tmp_path / "in"), str(tmp_path / "out"), "none", compression="gzip")
+    jobs.score_file(spark, str(tmp_path / "in"), str(tmp_path / "plain"), "none")
+    assert glob.glob(f"{tmp_path}/out/*.csv.gz") and glob.glob(f"{tmp_path}/plain/*.csv") and not glob.glob(f"{tmp_path}/out/*.csv")
+    assert csv_files.read_mods_csv(spark, str(tmp_path / "out")).count() == mods.count()
