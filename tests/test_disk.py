@@ -101,6 +101,13 @@ def test_common_extensions_are_written_without_a_shuffle(spark, tmp_path, monkey
     assert hinted == [] and stores.load_scores(spark, path).count() == 990
 
 
+def test_least_effort_of_gzip_comes_back(spark, tmp_path):
+    mods = fx.mods_with_ext(spark, _tables(spark, str(tmp_path)))
+    csv_files.write_csv(mods, str(tmp_path / "fast"), compression="gzip", fast=True)
+    back = csv_files.read_mods_csv(spark, str(tmp_path / "fast"))
+    assert sorted(map(str, back.select("hash", "file_name").collect())) == sorted(map(str, mods.select("hash", "file_name").collect()))
+
+
 def test_training_set_reads_the_mods_once_and_shuffles_rows_once(spark, monkeypatch):
     rows = [("py", f"h{i}", "a", True, f"f{i}.py", *[float((i * p) % 17) for p in (1, 2, 3, 5, 7, 11)]) for i in range(80)]
     names = ["file_ext", "hash", "Author", "language_supported", "file_name", *FEATURES]
